@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from runweave.operators.ranges import (
     SampledRanges,
@@ -28,7 +28,9 @@ from runweave.operators.ranges import (
 
 # Names of helper columns.
 TIE, RANGE, HOT, PART = "__tie", "__range", "__hot", "__part"
-COPIES, START, BLOCK = "__n", "__start", "__block"
+COPIES, START, BLOCK, PLACE = "__n", "__start", "__block", "__place"
+# monotonically_increasing_id(): the partition, then 33 bits of row number.
+PLACE_BITS = 33
 # Longest array one row is expanded through.
 COPIES_PER_ARRAY = 65_536
 # Copies of a hot row written by one input row of the expansion.
@@ -191,6 +193,12 @@ def _spread(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(PART, START)
 
 
+def _sorted_parts(layout: Layout, rows: DataFrame, n_parts: int) -> DataFrame:
+    """Rows in their tasks and in order there; a task holds one part, so it
+    need not sort by part."""
+    return rows.repartitionById(n_parts, PART).sortWithinPartitions(*layout.split)
+
+
 def ordered_rows(layout: Layout) -> DataFrame:
     """All rows, partition by partition in ascending order."""
     slots = _slots(layout)
@@ -198,6 +206,7 @@ def ordered_rows(layout: Layout) -> DataFrame:
         rows = _collapsed(layout, slots)
         if slots.hot is not None:
             rows = rows.unionByName(_hot_blocks(slots).drop(START))
+        rows = _expand(_sorted_parts(layout, rows, slots.n_parts))
     else:
         rows = _cold(layout, slots)
         if slots.hot is not None:
@@ -206,33 +215,34 @@ def ordered_rows(layout: Layout) -> DataFrame:
                 rest = [c for c in layout.columns if c not in layout.split]
                 hot = hot.withColumn(TIE, F.xxhash64(*rest))
             rows = rows.unionByName(hot)
-    rows = rows.repartitionById(slots.n_parts, PART).sortWithinPartitions(PART, *layout.split)
-    if layout.collapsible:
-        rows = _expand(rows)
+        rows = _sorted_parts(layout, rows, slots.n_parts)
     return rows.select(*layout.columns)
 
 
 def numbered_rows(layout: Layout, position: str = "pos") -> DataFrame:
-    """All rows with their 0-based position in ascending order."""
+    """All rows with their 0-based position in ascending order.
+
+    A row's position is its part's start plus its place in the sorted part;
+    both halves of that come out of `monotonically_increasing_id`, which costs
+    a counter where a window would sort by part and key.  Hot rows are
+    numbered from their counts alone and never shuffled.
+    """
     slots = _slots(layout)
-    starts = F.get(literal_array(slots.start_of_part, "bigint"), F.col(PART))
-    in_part = W.partitionBy(PART).orderBy(*layout.split)
     if layout.collapsible:
-        before = F.sum(COPIES).over(in_part.rowsBetween(W.unboundedPreceding, -1))
-        rows = (
-            _collapsed(layout, slots)
-            .repartitionById(slots.n_parts, PART)
-            .withColumn(START, starts + F.coalesce(before, F.lit(0)))
-        )
-        rows = _expand(rows, position)
+        rows = _expand(_sorted_parts(layout, _collapsed(layout, slots), slots.n_parts))
     else:
-        rows = (
-            _cold(layout, slots)
-            .repartitionById(slots.n_parts, PART)
-            .withColumn(position, starts + F.row_number().over(in_part) - 1)
-        )
-    rows = rows.select(position, *layout.columns)
+        rows = _sorted_parts(layout, _cold(layout, slots), slots.n_parts)
+    rows = rows.select(F.monotonically_increasing_id().alias(PLACE), *layout.columns)
+    rows = rows.select(place_to_position(slots.start_of_part).alias(position), *layout.columns)
     if slots.hot is not None:
         hot = _expand(_spread(_hot_blocks(slots)), position)
         rows = rows.unionByName(hot.select(position, *layout.columns))
     return rows
+
+
+def place_to_position(start_of_part: list[int]) -> Column:
+    """Position of a row whose PLACE is the id Spark gave it where it lay."""
+    start = F.get(
+        literal_array(start_of_part, "bigint"), F.shiftright(PLACE, PLACE_BITS).cast("int")
+    )
+    return start + F.col(PLACE).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))

@@ -22,7 +22,7 @@ SAMPLE_SEED = 7
 # Keys drawn exactly twice that make the estimate of all keys worth using.
 MIN_PAIRS = 10
 # Rows per key from which counting keys beats sorting rows.
-COPIES_TO_COLLAPSE = 8
+COPIES_TO_COLLAPSE = 16
 
 
 def default_ranges(df: DataFrame, n_rows: int) -> int:

@@ -7,10 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runweave.operators.groups import attach_group_totals
-from runweave.operators.layout import numbered_rows, ordered_rows, plan_layout
-from runweave.operators.ranges import literal_array, range_number, sample_ranges
+from runweave.operators.layout import (
+    PLACE,
+    PLACE_BITS,
+    numbered_rows,
+    ordered_rows,
+    place_to_position,
+    plan_layout,
+)
+from runweave.operators.ranges import range_number, sample_ranges
 from runweave.storage import cut_lineage
 
+# Folder column of a directory of runs.
+RUN_ID = "run_id"
+
 
 def _names(keys: str | list[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -65,26 +75,22 @@ def index_rows(df: DataFrame) -> DataFrame:
     The rows are written to shared storage with their partition and place, so
     the numbers and the rows come from one run of the plan.
     """
-    tag, place_bits = "__tag", 33
-    stored = cut_lineage(df.withColumn(tag, F.monotonically_increasing_id()), "indexed")
-    part = F.shiftright(tag, place_bits)
+    stored = cut_lineage(df.withColumn(PLACE, F.monotonically_increasing_id()), "indexed")
+    part = F.shiftright(PLACE, PLACE_BITS).alias("part")
     # One row per partition of the plan.
-    sizes = stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
-    starts, position = {}, 0
-    for row in sorted(sizes, key=lambda r: r["part"]):
-        starts[row["part"]] = position
-        position += row["n"]
-    dense = [starts.get(i, 0) for i in range(max(starts, default=-1) + 1)]
-    offset = F.get(literal_array(dense, "bigint"), part.cast("int"))
-    place = F.col(tag).bitwiseAND(F.lit((1 << place_bits) - 1))
-    return stored.select((offset + place).alias("pos"), *df.columns)
+    sizes = {r["part"]: r["n"] for r in stored.groupBy(part).agg(F.count("*").alias("n")).collect()}
+    starts = [0]
+    for i in range(max(sizes, default=0)):
+        starts.append(starts[-1] + sizes.get(i, 0))
+    return stored.select(place_to_position(starts).alias("pos"), *df.columns)
 
 
 def sorted_runs(chunked: DataFrame, key: str = "v", chunk: str = "chunk_id") -> DataFrame:
     """Each chunk sorted on its own and kept together under its id.
 
-    The range exchange is on (chunk, key), so a chunk larger than a task is
-    continued in the next partition.
+    The range exchange is on (chunk, key): a chunk larger than a task is
+    continued in the next partition, and rows that agree in both are at most
+    one chunk's worth (`MAX_CHUNK`).
     """
     return chunked.orderBy(chunk, key)
 
@@ -102,12 +108,12 @@ def merge_runs(
 ) -> DataFrame:
     """One ascending sequence from many sorted runs.
 
-    ``runs`` is a list (missing runs are skipped) or a directory of runs.  No
-    runs give an empty result, one run is returned as it is.
+    ``runs`` is a list (missing runs are skipped) or a directory with a
+    ``run_id=...`` folder per run.  No runs give an empty result, one run is returned as it is.
     """
     spark = spark or SparkSession.getActiveSession()
     if isinstance(runs, str):
-        return global_sort(spark.read.parquet(runs), key, num_partitions)
+        return global_sort(spark.read.parquet(runs).drop(RUN_ID), key, num_partitions)
     present = [r for r in runs if r is not None]
     if not present:
         return spark.createDataFrame([], f"{key} bigint")

@@ -141,20 +141,15 @@ def sorted_runs_order(spark, sf_dir):
     return index_rows(sorted_runs(_chunked(spark, sf_dir).select("chunk_id", "v")))
 
 
-def _runs(spark, sf_dir):
-    """One run per line number, the last one missing, as a lost chunk would be."""
-    rows = src.table(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_partkey").alias("v"))
-    return [
-        global_sort(rows.where(F.col("l_linenumber") == i).select("v"), "v") for i in range(1, 7)
-    ] + [None]
-
-
-@query(
-    "SELECT row_number() OVER (ORDER BY l_partkey) - 1 AS pos, l_partkey AS v FROM lineitem "
-    "WHERE l_linenumber < 7"
-)
+@query(SORTED_SQL)
 def merge_runs_order(spark, sf_dir):
-    return index_rows(merge_runs(_runs(spark, sf_dir), "v", spark=spark))
+    """A sorted run per line number on shared storage, merged into one."""
+    runs = shared_path(spark, "line-runs")
+    rows = src.table(spark, sf_dir, "lineitem").select(
+        F.col("l_linenumber").alias("run_id"), F.col("l_partkey").alias("v")
+    )
+    global_sort(rows, ["run_id", "v"]).write.partitionBy("run_id").parquet(runs)
+    return index_rows(merge_runs(runs, "v", spark=spark))
 
 
 STRIDE_SQL = f"""
