@@ -28,13 +28,14 @@ from runweave.operators.validate import (
     audit_seeds,
     check_complete,
     check_conserved,
+    check_order,
     check_sorted,
     chunk_report,
 )
 
 __all__ = [
     "append_run", "apportion", "assign_chunks", "assign_range", "audit_seeds",
-    "check_complete", "check_conserved", "check_sorted", "chunk_manifest",
+    "check_complete", "check_conserved", "check_order", "check_sorted", "chunk_manifest",
     "chunk_report", "chunk_size", "compare_runs", "global_position",
     "global_sort", "index_rows", "ledger_view", "merge_runs",
     "node_contribution", "position_in_group", "preview", "range_histogram",

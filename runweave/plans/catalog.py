@@ -21,6 +21,7 @@ from runweave.operators import (
     audit_seeds,
     check_complete,
     check_conserved,
+    check_order,
     check_sorted,
     chunk_manifest,
     compare_runs,
@@ -347,17 +348,17 @@ def generate_sorted_rows(spark, sf_dir):
     return generate_sorted(spark, _lineitem_rows(spark, sf_dir), seed=SEED)
 
 
-@query("SELECT count(*) AS n, 0 AS descents, true AS same_rows FROM lineitem")
+@query(
+    "SELECT count(*) AS n, CAST(0 AS BIGINT) AS violations, true AS is_sorted, true AS same_rows "
+    "FROM lineitem"
+)
 def generate_sorted_audit(spark, sf_dir):
     """The sorted values, in order as they lie, are the generated ones."""
     n = _lineitem_rows(spark, sf_dir)
-    placed = index_rows(generate_sorted(spark, n, seed=SEED)).withColumn("chunk", F.lit(1))
-    order = check_sorted(placed, "chunk", "pos", "v")
-    same = check_conserved(generate_uniform(spark, n, seed=SEED).select("v"), placed.select("v"))
-    return order.select(
-        "n",
-        (F.col("inner_violations") + F.col("boundary_violations")).cast("int").alias("descents"),
-        same.select(F.col("count_ok") & F.col("content_ok")).scalar().alias("same_rows"),
+    result = generate_sorted(spark, n, seed=SEED)
+    same = check_conserved(generate_uniform(spark, n, seed=SEED).select("v"), result)
+    return check_order(result, "v").select(
+        "*", same.select(F.col("count_ok") & F.col("content_ok")).scalar().alias("same_rows")
     )
 
 
@@ -421,6 +422,21 @@ def check_sorted_violations(spark, sf_dir):
     return _sortedness(spark, sf_dir, "o_custkey")
 
 
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS violations, true AS is_sorted FROM lineitem")
+def check_order_sorted(spark, sf_dir):
+    return check_order(global_sort(src.part_keys(spark, sf_dir), "v"), "v")
+
+
+@query(
+    """WITH r AS (SELECT o_custkey AS v, lag(o_custkey) OVER (ORDER BY o_orderkey) AS pv FROM orders)
+    SELECT count(*) AS n, count(*) FILTER (WHERE pv > v) AS violations,
+           count(*) FILTER (WHERE pv > v) = 0 AS is_sorted FROM r"""
+)
+def check_order_violations(spark, sf_dir):
+    """Sorted by another column than the one checked."""
+    return check_order(global_sort(src.order_values(spark, sf_dir), "o_orderkey"), "v")
+
+
 @query(
     "SELECT count(*) AS n_before, count(*) FILTER (WHERE o_orderkey % 97 <> 0) AS n_after, "
     "false AS count_ok, false AS content_ok FROM orders"

@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from runweave.operators import (
+    check_order,
     check_sorted,
     global_position,
     global_sort,
@@ -213,3 +214,29 @@ def test_one_exchange_of_the_rows_and_no_single_task_window(spark):
     plan = global_position(df, "v", 6)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("shufflepartitionidpassthrough") == 1
     assert "SinglePartition" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("xs,drops", [
+    ([], 0), ([1], 0), ([2, 2], 0), ([2, 1], 1), ([None, None, 1], 0), ([1, None, None, 0], 1),
+    ([5, 4, 4, 3, 9], 2), (list(range(100)), 0), (list(range(100, 0, -1)), 99),
+])
+@pytest.mark.parametrize("batch", [2, 10_000])
+def test_check_order_as_rows_lie(spark, xs, drops, batch):
+    """Neighbours meet within batches, across batches and across partitions."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, batch)
+    try:
+        rows = [(i, x) for i, x in enumerate(xs)]
+        df = spark.createDataFrame(rows, "i bigint, v bigint").repartitionByRange(4, "i")
+        got = check_order(df.sortWithinPartitions("i"), "v").first()
+    finally:
+        spark.conf.set(conf, before)
+    assert tuple(got) == (len(xs), drops, drops == 0)
+
+
+def test_check_order_shuffles_no_rows(spark):
+    df = spark.range(1_000).select(F.col("id").alias("v"))
+    plan = check_order(df, "v")._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("MapInArrow", 1)[1]
+    assert "Exchange" not in below
