@@ -41,6 +41,7 @@ COPIES_PER_BLOCK = 1_048_576
 class Layout:
     source: DataFrame
     columns: list[str]
+    keys: list[str]
     #: Columns that place a row: the keys, then a hash of all other columns so
     #: that rows sharing a key can still be told apart.  Rows equal in all of
     #: `split` that are hot are grouped on every column, not on the hash alone.
@@ -51,8 +52,15 @@ class Layout:
 
     @property
     def skewed(self) -> bool:
+        """Some rows are too many to be one task's and equal in all of `split`."""
         return bool(self.ranges.hot)
 
+    @property
+    def crowded(self) -> bool:
+        """Some key has a range's worth of rows or more, equal or not."""
+        drawn = [t[: len(self.keys)] for t in self.ranges.drawn]
+        return len(set(drawn)) < len(drawn)
+
     @property
     def collapsible(self) -> bool:
         """Rows are nothing but their key, and keys repeat: counts per key
@@ -70,7 +78,7 @@ def plan_layout(
     source, split = df, list(keys)
     if rest:
         source, split = df.withColumn(TIE, F.xxhash64(*rest)), split + [TIE]
-    return Layout(source, columns, split, n_rows, p, sample_ranges(source, split, n_rows, p))
+    return Layout(source, columns, keys, split, n_rows, p, sample_ranges(source, split, n_rows, p))
 
 
 def _ranged(layout: Layout) -> DataFrame:
@@ -193,10 +201,10 @@ def _spread(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(PART, START)
 
 
-def _sorted_parts(layout: Layout, rows: DataFrame, n_parts: int) -> DataFrame:
+def _sorted_parts(rows: DataFrame, n_parts: int, by: list[str]) -> DataFrame:
     """Rows in their tasks and in order there; a task holds one part, so it
     need not sort by part."""
-    return rows.repartitionById(n_parts, PART).sortWithinPartitions(*layout.split)
+    return rows.repartitionById(n_parts, PART).sortWithinPartitions(*by)
 
 
 def ordered_rows(layout: Layout) -> DataFrame:
@@ -206,16 +214,13 @@ def ordered_rows(layout: Layout) -> DataFrame:
         rows = _collapsed(layout, slots)
         if slots.hot is not None:
             rows = rows.unionByName(_hot_blocks(slots).drop(START))
-        rows = _expand(_sorted_parts(layout, rows, slots.n_parts))
+        rows = _expand(_sorted_parts(rows, slots.n_parts, layout.keys))
     else:
         rows = _cold(layout, slots)
         if slots.hot is not None:
             hot = _expand(_spread(_hot_blocks(slots)))
-            if TIE in layout.split:
-                rest = [c for c in layout.columns if c not in layout.split]
-                hot = hot.withColumn(TIE, F.xxhash64(*rest))
-            rows = rows.unionByName(hot)
-        rows = _sorted_parts(layout, rows, slots.n_parts)
+            rows = rows.drop(TIE).unionByName(hot)
+        rows = _sorted_parts(rows, slots.n_parts, layout.keys)
     return rows.select(*layout.columns)
 
 
@@ -229,9 +234,9 @@ def numbered_rows(layout: Layout, position: str = "pos") -> DataFrame:
     """
     slots = _slots(layout)
     if layout.collapsible:
-        rows = _expand(_sorted_parts(layout, _collapsed(layout, slots), slots.n_parts))
+        rows = _expand(_sorted_parts(_collapsed(layout, slots), slots.n_parts, layout.split))
     else:
-        rows = _sorted_parts(layout, _cold(layout, slots), slots.n_parts)
+        rows = _sorted_parts(_cold(layout, slots), slots.n_parts, layout.split)
     rows = rows.select(F.monotonically_increasing_id().alias(PLACE), *layout.columns)
     rows = rows.select(place_to_position(slots.start_of_part).alias(position), *layout.columns)
     if slots.hot is not None:

@@ -38,7 +38,7 @@ def global_sort(
     """
     keys = _names(keys)
     layout = plan_layout(df, keys, num_partitions)
-    if layout.skewed or layout.collapsible:
+    if layout.crowded or layout.collapsible:
         return ordered_rows(layout)
     if num_partitions is None:
         return df.orderBy(*keys)
