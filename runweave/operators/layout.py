@@ -6,13 +6,14 @@ global position of its first row, so positions and ordered output need one
 shuffle of the rows and no single-task step.
 
 Keys that hold a range's worth of rows or more show up as repeated pivots.
-Their rows are identical (see `Layout.split`), so they are carried as a count
-and written out again by as many tasks as they need.
+Their rows are then placed by their other columns too.  Rows equal in those as
+well are carried as a count and written out again by as many tasks as they need.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -42,47 +43,50 @@ class Layout:
     source: DataFrame
     columns: list[str]
     keys: list[str]
-    #: Columns that place a row: the keys, then a hash of all other columns so
-    #: that rows sharing a key can still be told apart.  Rows equal in all of
-    #: `split` that are hot are grouped on every column, not on the hash alone.
+    #: Columns that place a row: the keys and, where a key is crowded, a hash
+    #: of all other columns, so that its rows can still be told apart.
     split: list[str]
     n_rows: int
     n_ranges: int
     ranges: SampledRanges
+    #: Some key has about a range's worth of rows or more.
+    crowded: bool
+
+    @cached_property
+    def ranged(self) -> DataFrame:
+        return range_number(self.source, self.split, self.ranges.pivots, RANGE)
 
     @property
-    def skewed(self) -> bool:
-        """Some rows are too many to be one task's and equal in all of `split`."""
-        return bool(self.ranges.hot)
+    def rest(self) -> list[str]:
+        return [c for c in self.columns if c not in self.keys]
 
     @property
-    def crowded(self) -> bool:
-        """Some key has a range's worth of rows or more, equal or not."""
-        drawn = [t[: len(self.keys)] for t in self.ranges.drawn]
-        return len(set(drawn)) < len(drawn)
+    def skewed(self) -> bool:
+        """As many rows are equal in all of `split`."""
+        return bool(self.ranges.hot)
 
     @property
     def collapsible(self) -> bool:
         """Rows are nothing but their key, and keys repeat: counts per key
         describe the data in far fewer rows."""
-        return TIE not in self.split and self.ranges.repetitive
+        return not self.rest and self.ranges.repetitive
 
 
 def plan_layout(
     df: DataFrame, keys: list[str], n_ranges: int | None = None
 ) -> Layout:
+    """Sample the keys; only where one is crowded are other columns read."""
     columns = list(df.columns)
     rest = [c for c in columns if c not in keys]
     n_rows = df.count()
     p = n_ranges or default_ranges(df, n_rows)
     source, split = df, list(keys)
-    if rest:
-        source, split = df.withColumn(TIE, F.xxhash64(*rest)), split + [TIE]
-    return Layout(source, columns, keys, split, n_rows, p, sample_ranges(source, split, n_rows, p))
-
-
-def _ranged(layout: Layout) -> DataFrame:
-    return range_number(layout.source, layout.split, layout.ranges.pivots, RANGE)
+    ranges = sample_ranges(source, split, n_rows, p)
+    crowded = bool(ranges.hot)
+    if crowded and rest:
+        source, split = df.withColumn(TIE, F.xxhash64(*rest)), [*keys, TIE]
+        ranges = sample_ranges(source, split, n_rows, p)
+    return Layout(source, columns, list(keys), split, n_rows, p, ranges, crowded)
 
 
 @dataclass(frozen=True)
@@ -102,7 +106,7 @@ def _slots(layout: Layout) -> Slots:
     bounded by the number of ranges whatever the data.
     """
     spark = layout.source.sparkSession
-    ranged = _ranged(layout)
+    ranged = layout.ranged
     if layout.skewed:
         row = F.when(is_hot(ranged, layout.ranges, RANGE), F.struct(*layout.columns))
     else:
@@ -148,7 +152,7 @@ def _slots(layout: Layout) -> Slots:
 
 def _cold(layout: Layout, slots: Slots) -> DataFrame:
     """Every row that is not hot, with the task it belongs to."""
-    df = _ranged(layout)
+    df = layout.ranged
     if slots.hot is not None:
         df = df.where(~is_hot(df, layout.ranges, RANGE))
     part = F.get(literal_array(slots.part_of_range, "int"), F.col(RANGE))
@@ -201,10 +205,14 @@ def _spread(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(PART, START)
 
 
-def _sorted_parts(rows: DataFrame, n_parts: int, by: list[str]) -> DataFrame:
+def _sorted_parts(layout: Layout, rows: DataFrame, n_parts: int, ties: bool = False) -> DataFrame:
     """Rows in their tasks and in order there; a task holds one part, so it
-    need not sort by part."""
-    return rows.repartitionById(n_parts, PART).sortWithinPartitions(*by)
+    need not sort by part.  ``ties`` also puts rows with equal keys in an order
+    that is the same every time."""
+    parts = rows.repartitionById(n_parts, PART)
+    if ties and layout.rest:
+        return parts.sortWithinPartitions(*layout.keys, F.xxhash64(*layout.rest))
+    return parts.sortWithinPartitions(*layout.keys)
 
 
 def ordered_rows(layout: Layout) -> DataFrame:
@@ -214,13 +222,13 @@ def ordered_rows(layout: Layout) -> DataFrame:
         rows = _collapsed(layout, slots)
         if slots.hot is not None:
             rows = rows.unionByName(_hot_blocks(slots).drop(START))
-        rows = _expand(_sorted_parts(rows, slots.n_parts, layout.keys))
+        rows = _expand(_sorted_parts(layout, rows, slots.n_parts))
     else:
         rows = _cold(layout, slots)
         if slots.hot is not None:
             hot = _expand(_spread(_hot_blocks(slots)))
-            rows = rows.drop(TIE).unionByName(hot)
-        rows = _sorted_parts(rows, slots.n_parts, layout.keys)
+            rows = rows.select(PART, *layout.columns).unionByName(hot)
+        rows = _sorted_parts(layout, rows, slots.n_parts)
     return rows.select(*layout.columns)
 
 
@@ -234,9 +242,9 @@ def numbered_rows(layout: Layout, position: str = "pos") -> DataFrame:
     """
     slots = _slots(layout)
     if layout.collapsible:
-        rows = _expand(_sorted_parts(_collapsed(layout, slots), slots.n_parts, layout.split))
+        rows = _expand(_sorted_parts(layout, _collapsed(layout, slots), slots.n_parts))
     else:
-        rows = _sorted_parts(_cold(layout, slots), slots.n_parts, layout.split)
+        rows = _sorted_parts(layout, _cold(layout, slots), slots.n_parts, ties=True)
     rows = rows.select(F.monotonically_increasing_id().alias(PLACE), *layout.columns)
     rows = rows.select(place_to_position(slots.start_of_part).alias(position), *layout.columns)
     if slots.hot is not None:

@@ -13,7 +13,7 @@ def stream_runs(
     in_dir: str,
     run_dir: str,
     checkpoint: str,
-    schema: StructType | str,
+    schema: StructType | str = "v bigint",
     key: str = "v",
     file_format: str = "parquet",
     max_files: int = 100,

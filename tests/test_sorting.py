@@ -240,3 +240,14 @@ def test_check_order_shuffles_no_rows(spark):
     plan = check_order(df, "v")._jdf.queryExecution().executedPlan().toString()
     below = plan.split("MapInArrow", 1)[1]
     assert "Exchange" not in below
+
+
+def test_unread_columns_stay_unread_while_planning(spark, tmp_path):
+    """Sampling and counting scan the key alone unless a key is crowded."""
+    path = str(tmp_path / "wide")
+    spark.range(3_000).selectExpr("id as v", "repeat('x', 50) as wide").write.parquet(path)
+    layout = plan_layout(spark.read.parquet(path), ["v"], 6)
+    assert layout.split == ["v"] and not layout.crowded
+    counts = layout.ranged.groupBy("__range").count()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<v:bigint>" in plan
