@@ -101,7 +101,7 @@ def apportion(
         F.max(order).alias("__last"),
     )
     rows = attach_group_totals(df, totals, group, "__rows")
-    last = F.col(order) == F.col("__last")
+    last = F.col(order).eqNullSafe(F.col("__last"))
     if method == "equal":
         each = F.expr(f"{total}L div __rows")
         rest = F.lit(total) - each * (F.col("__rows") - 1)

@@ -87,32 +87,42 @@ def sample_ranges(df: DataFrame, cols: list[str], n_rows: int, p: int) -> Sample
     whole = n_rows <= target
     if not whole:
         keys = keys.sample(fraction=target / n_rows, seed=SAMPLE_SEED)
-    counted = keys.groupBy(*cols).agg(F.count("*").cast("int").alias("__c"))
-    drawn = counted.agg(
-        F.sort_array(F.collect_list(F.struct(F.struct(*cols).alias("key"), "__c"))).alias("k"),
-        F.count("*").alias("distinct"),
-        F.count_if(F.col("__c") == 1).alias("once"),
-        F.count_if(F.col("__c") == 2).alias("twice"),
+    drawn = keys.agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("k")).select(
+        "k", F.size("k").alias("m")
     )
-    copies = F.transform("k", lambda x: F.array_repeat(x["key"], x["__c"]))
-    drawn = drawn.select(F.flatten(copies).alias("k"), "distinct", "once", "twice")
+
+    def same(i: Column, j: Column) -> Column:
+        return F.get("k", i).eqNullSafe(F.get("k", j))
+
+    # Where each distinct key begins in the sorted sample.
+    begins = F.filter(
+        F.sequence(F.lit(0), F.col("m") - 1), lambda i: (i == 0) | ~same(i, i - 1)
+    )
+    once = F.filter("begins", lambda i: ~same(i, i + 1))
+    twice = F.filter("begins", lambda i: same(i, i + 1) & ~same(i, i + 2))
     if p < 2:
         picks = F.array().cast("array<array<string>>")
     else:
-        size = F.size("k").cast("bigint")
+        at = F.col("m").cast("bigint") / p
         picks = F.transform(
             F.sequence(F.lit(1), F.lit(p - 1)),
-            lambda i: F.array(
-                *[F.get("k", (i * size / p).cast("int"))[c].cast("string") for c in cols]
-            ),
+            lambda i: F.array(*[F.get("k", (i * at).cast("int"))[c].cast("string") for c in cols]),
+        )
+    row = (
+        drawn.withColumn("begins", begins)
+        .select(
+            "m",
+            picks.alias("picks"),
+            F.size("begins").alias("distinct"),
+            F.size(once).alias("once"),
+            F.size(twice).alias("twice"),
         )
-    row = drawn.select(picks.alias("picks"), "distinct", "once", "twice").first()
-    return SampledRanges(
-        list(cols),
-        [tuple(t) for t in row["picks"]] if row["distinct"] else [],
-        n_rows,
-        _estimate_keys(row["distinct"], row["once"], row["twice"], whole),
+        .first()
     )
+    if not row["m"]:
+        return SampledRanges(list(cols), [], n_rows, 0)
+    n_keys = _estimate_keys(row["distinct"], row["once"], row["twice"], whole)
+    return SampledRanges(list(cols), [tuple(t) for t in row["picks"]], n_rows, n_keys)
 
 
 def _dtypes(df: DataFrame, cols: list[str]) -> list[str]:

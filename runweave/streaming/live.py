@@ -51,7 +51,7 @@ def source_sessions(beats: DataFrame, timeout: timedelta = TIMEOUT) -> DataFrame
     starts = F.coalesce(F.col("first") - F.lag("last").over(by_time) > span, F.lit(True))
     sessions = (
         slices.withColumn("starts", starts.cast("int"))
-        .withColumn("session", F.sum("starts").over(by_time))
+        .withColumn("session", F.sum("starts").over(by_time.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy(*SOURCE, "session")
         .agg(
             F.min("first").alias("first"),
