@@ -41,9 +41,9 @@ from runweave.operators import (
 )
 from runweave.plans import inputs as src
 from runweave.sources import (
-    LINE_ORDER,
     generate_sorted,
     generate_uniform,
+    number_lines,
     read_numbers,
     write_numbers,
 )
@@ -270,16 +270,11 @@ def apportion_equal(spark, sf_dir):
 # ---------------------------------------------------------- number files
 
 
-def _read_in_order(spark, path):
-    lines = read_numbers(spark, path, line_order=True)
-    return global_position(lines, LINE_ORDER).select("pos", "v")
-
-
 @query(SORTED_SQL)
 def number_file_sorted(spark, sf_dir):
     path = shared_path(spark, "sorted-numbers")
     write_numbers(global_sort(src.part_keys(spark, sf_dir), "v"), path)
-    return _read_in_order(spark, path)
+    return number_lines(read_numbers(spark, path, line_order=True))
 
 
 def _mixed_lines(spark, sf_dir):

@@ -1,4 +1,7 @@
 from runweave.sources.generate import generate_sorted, generate_uniform
-from runweave.sources.numbers import LINE_ORDER, read_numbers, write_numbers
+from runweave.sources.numbers import LINE_ORDER, number_lines, read_numbers, write_numbers
 
-__all__ = ["LINE_ORDER", "generate_sorted", "generate_uniform", "read_numbers", "write_numbers"]
+__all__ = [
+    "LINE_ORDER", "generate_sorted", "generate_uniform", "number_lines", "read_numbers",
+    "write_numbers",
+]

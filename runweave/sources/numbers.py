@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
+
+from runweave.operators.groups import attach_group_totals
 
 #: Columns that restore the order of lines across files and file splits.
 LINE_ORDER = ["src_file", "src_block", "src_row"]
@@ -42,6 +44,30 @@ def read_numbers(
     return lines.where(F.when(good, True).otherwise(bad)).select("v", *kept)
 
 
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Replace the LINE_ORDER columns of lines as read by ``pos``, their 0-based
+    place in file name and line order.
+
+    A file split is read by one task in order, so a line's place is the lines
+    of all earlier splits plus its own place in its split.  Only the splits are
+    counted and put in order, one row each; no line is shuffled.
+    """
+    file, block, _ = LINE_ORDER
+    split, row = "__split", "__row"
+    # A fresh counter: lines left out so far leave no gaps.
+    lines = lines.select(
+        *[c for c in lines.columns if c not in LINE_ORDER],
+        F.struct(file, block).alias(split),
+        F.monotonically_increasing_id().alias(row),
+    )
+    splits = lines.groupBy(split).agg(F.count("*").alias("__n"), F.min(row).alias("__first"))
+    before = F.sum("__n").over(W.orderBy(split).rowsBetween(W.unboundedPreceding, -1))
+    starts = splits.withColumn("__start", F.coalesce(before, F.lit(0)))
+    placed = attach_group_totals(lines, starts, split, "__n")
+    pos = F.col("__start") + F.col(row) - F.col("__first")
+    return placed.select(pos.alias("pos"), *[c for c in lines.columns if c not in (split, row)])
+
+
 def write_numbers(df: DataFrame, path: str, col: str = "v") -> int:
     """Write one value per line, in the order of ``df``'s partitions: the name
     order of the part files is the order of the values.  Returns the number of

@@ -7,7 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from runweave.operators import global_position, global_sort, merge_runs
-from runweave.sources import LINE_ORDER, generate_sorted, generate_uniform, read_numbers, write_numbers
+from runweave.sources import (
+    LINE_ORDER,
+    generate_sorted,
+    generate_uniform,
+    number_lines,
+    read_numbers,
+    write_numbers,
+)
 from runweave.streaming import live_sources, session_stream, source_sessions, stream_runs
 
 
@@ -67,10 +74,22 @@ def test_write_keeps_order_over_files_and_splits(spark, tmp_path):
     try:
         back = read_numbers(spark, out, line_order=True)
         assert back.rdd.getNumPartitions() > 4
-        placed = global_position(back, LINE_ORDER, 5).orderBy("pos").collect()
+        placed = number_lines(back).orderBy("pos").collect()
+        same = global_position(back, LINE_ORDER, 5).orderBy("pos").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert [r["v"] for r in placed] == sorted(xs)
+    assert [(r["pos"], r["v"]) for r in placed] == list(enumerate(sorted(xs)))
+    assert [r["v"] for r in same] == sorted(xs)
+
+
+def test_line_numbers_leave_no_gaps(spark, tmp_path):
+    for name, text in (("b.txt", "\n5\nx\n\n4\n"), ("a.txt", "9\n\n\n8\ny\n7\n")):
+        (tmp_path / name).write_text(text)
+    good, bad = read_numbers(spark, str(tmp_path), mode="permissive", line_order=True)
+    assert sorted(tuple(r) for r in number_lines(good).collect()) == [
+        (0, 9), (1, 8), (2, 7), (3, 5), (4, 4),
+    ]
+    assert sorted(tuple(r) for r in number_lines(bad).collect()) == [(0, "y"), (1, "x")]
 
 
 def test_write_nothing(spark, tmp_path):
