@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from datetime import datetime
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,17 +34,31 @@ def default_ranges(df: DataFrame, n_rows: int) -> int:
     return max(1, min(MAX_RANGES, max(p, ceil(n_rows / MAX_ROWS_PER_RANGE))))
 
 
+# A timestamp as text could name two instants when clocks go back.
+SECONDS = "decimal(20,6)"
+
+
+def _as_text(key: Column, dtype: str) -> Column:
+    return (key.cast(SECONDS) if dtype == "timestamp" else key).cast("string")
+
+
 def literal_array(values: list, dtype: str) -> Column:
     """A constant array, built from one string so that its cost in the driver
-    does not grow with a call per element; the optimizer folds it."""
+    does not grow with a call per element; the optimizer folds it.  Values are
+    given as Python values or as `_as_text` has them."""
+    if dtype == "timestamp":
+        values = [f"{v.timestamp():.6f}" if isinstance(v, datetime) else v for v in values]
     texts = [None if v is None else str(v) for v in values]
-    return F.from_json(F.lit(json.dumps(texts)), "array<string>").cast(f"array<{dtype}>")
+    array = F.from_json(F.lit(json.dumps(texts)), "array<string>")
+    if dtype == "timestamp":
+        array = array.cast(f"array<{SECONDS}>")
+    return array.cast(f"array<{dtype}>")
 
 
 @dataclass(frozen=True)
 class SampledRanges:
-    """Pivots of a sample, as Spark-cast strings: one tuple per pivot, one
-    entry per key column.  ``hot`` are pivots drawn more than once, that is,
+    """Pivots of a sample, as text: one tuple per pivot, one entry per key
+    column.  ``hot`` are pivots drawn more than once, that is,
     keys holding about a whole range or more of the rows."""
 
     cols: list[str]
@@ -106,7 +121,12 @@ def sample_ranges(df: DataFrame, cols: list[str], n_rows: int, p: int) -> Sample
         at = F.col("m").cast("bigint") / p
         picks = F.transform(
             F.sequence(F.lit(1), F.lit(p - 1)),
-            lambda i: F.array(*[F.get("k", (i * at).cast("int"))[c].cast("string") for c in cols]),
+            lambda i: F.array(
+                *[
+                    _as_text(F.get("k", (i * at).cast("int"))[c], dtype)
+                    for c, dtype in zip(cols, _dtypes(df, cols))
+                ]
+            ),
         )
     row = (
         drawn.withColumn("begins", begins)

@@ -1,6 +1,7 @@
 """Ranges, chunks, shares, validation, reports and scalar functions."""
 
 import bisect
+from datetime import date, datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,20 @@ def test_filter_on_many_ranges_stays_small(spark):
     assert df.where("bucket > 7 and v < 100").count() == 86
 
 
+@pytest.mark.parametrize("dtype,pivots", [
+    ("date", [date(2024, 1, 3)]),
+    ("timestamp", [datetime(2024, 1, 3, tzinfo=timezone.utc)]),
+    ("timestamp_ntz", [datetime(2024, 1, 3)]),
+    ("string", ["2024-01-03"]),
+])
+def test_ranges_of_other_types(spark, dtype, pivots):
+    df = spark.range(5).selectExpr(
+        "id", f"cast(date_add(date'2024-01-01', cast(id as int)) as {dtype}) as v"
+    )
+    got = {r["id"]: r["bucket"] for r in assign_range(df, "v", pivots).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1}
+
+
 def test_histogram_and_unsorted_pivots(spark):
     rows = assign_range(values(spark, [1, 2, 3, 3, 4]), "v", [3])
     got = sorted(tuple(r) for r in range_histogram(rows).collect())

@@ -139,10 +139,14 @@ def test_keys_of_other_types(spark, dtype):
         "timestamp": "timestamp_micros(id * 777777777 - 5)",
         "decimal(12,3)": "cast(id as decimal(12,3)) / 8",
     }
-    df = spark.range(1_000).selectExpr(f"cast({keys[dtype]} as {dtype}) as v").repartition(4)
-    want = sorted(r["v"] for r in df.collect())
-    assert [v for _, v in positions(global_position(df, "v", 7))] == want
-    assert in_order(global_sort(df, "v", 7)) == want
+    key = keys[dtype]
+    df = spark.range(1_000).selectExpr(f"cast({key} as {dtype}) as v").repartition(4)
+    third = spark.range(500).select(F.lit(df.agg(F.min("v")).first()[0]).cast(dtype).alias("v"))
+    for rows in (df, df.unionByName(third)):
+        want = sorted(r["v"] for r in rows.collect())
+        assert plan_layout(rows, ["v"], 7).crowded == (rows is not df)
+        assert [v for _, v in positions(global_position(rows, "v", 7))] == want
+        assert in_order(global_sort(rows, "v", 7)) == want
 
 
 def test_composite_keys(spark):
@@ -251,3 +255,20 @@ def test_unread_columns_stay_unread_while_planning(spark, tmp_path):
     counts = layout.ranged.groupBy("__range").count()
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<v:bigint>" in plan
+
+
+def test_timestamps_when_clocks_go_back(spark):
+    """Half an hour steps through a night in which two hours bear one name."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.range(400).selectExpr(
+            "timestamp_seconds(1730610000 + id * 60) as v", "id as n"
+        ).repartition(4)
+        out = global_position(df, "v", 40).orderBy("pos").collect()
+        assert [(r["pos"], r["n"]) for r in out] == [(i, i) for i in range(400)]
+        values = df.select("v")
+        assert index_rows(global_sort(values.union(values), "v", 40)).count() == 800
+        assert check_order(ordered_rows(plan_layout(values.union(values), ["v"], 40)), "v").first()[1] == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
