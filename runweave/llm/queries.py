@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runweave.llm.common import LOWER, UPPER, table
+from runweave.llm.decontaminate import contamination
 from runweave.llm.exact import exact_duplicates
+from runweave.llm.jaccard import near_duplicates
 from runweave.llm.sharding import shard_by_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest").drop("n_bytes")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), percent=90, k=3)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -34,6 +53,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_sharding": op9_sharding,
 }
 
@@ -48,4 +69,35 @@ ORACLES: dict[str, str] = {
                sha256(norm) as text_sha256
         from t
     """,
+    "op6_decontamination": f"""
+        with i as (
+            select item_id, list_filter(string_split_regex({_LOWERED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+            from benchmark
+        ), iw as (
+            select distinct item_id, least(len(w), 13) as n,
+                   array_to_string(w[s:s + least(len(w), 13) - 1], ' ') as win
+            from (select item_id, w, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) as s from i where len(w) > 0)
+        ), d as (
+            select doc_id, row_number() over () as r, list_filter(string_split_regex({_LOWERED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+            from documents
+        ), lengths as (select distinct n from iw),
+        places as (select r, w, n, unnest(generate_series(1, len(w) - n + 1)) as s from d, lengths where len(w) >= n),
+        hits as (
+            select r, s, p.n, item_id
+            from (select r, s, n, array_to_string(w[s:s + n - 1], ' ') as win from places) p
+            join iw on iw.win = p.win and iw.n = p.n
+        ), words as (
+            select r, count(distinct pos) as n_hit
+            from (select r, unnest(generate_series(s, s + n - 1)) as pos from (select distinct r, s, n from hits))
+            group by r
+        ), items as (
+            select r, count(distinct item_id) as n_items,
+                   string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as listed
+            from hits group by r
+        )
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
+               coalesce(n_items, 0) as n_items, sha256(coalesce(listed, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from d left join words using (r) left join items using (r)
+    """,
 }
