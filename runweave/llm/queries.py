@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from runweave.llm import language, quality
 from runweave.llm.common import LOWER, UPPER, table
 from runweave.llm.decontaminate import contamination
 from runweave.llm.exact import exact_duplicates
@@ -14,12 +15,24 @@ from runweave.llm.sharding import shard_by_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
+# Folds by the checksum of the id, and the one that nothing is learned from.
+LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 3, 1
+QUALITY_FOLDS, QUALITY_HELD_OUT = 4, 2
+QUALITY_GOOD = 0.7
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest").drop("n_bytes")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, language.id_remainder(LANGUAGE_FOLDS) != LANGUAGE_HELD_OUT)
+    held_out = F.coalesce(language.id_remainder(LANGUAGE_FOLDS) == LANGUAGE_HELD_OUT, F.lit(False))
+    found = language.identify(docs.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "lang_score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -37,6 +50,15 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(language.id_remainder(QUALITY_FOLDS) == QUALITY_HELD_OUT, F.lit(False))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), language.id_remainder(QUALITY_FOLDS) != QUALITY_HELD_OUT)
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_GOOD).cast("int").alias("predicted")
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -53,8 +75,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language_id": op2_language_id,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
 }
 
