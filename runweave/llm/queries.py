@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runweave.llm import language, quality
+from runweave.llm import language, pieces, quality
 from runweave.llm.common import LOWER, UPPER, table
 from runweave.llm.decontaminate import contamination
 from runweave.llm.exact import exact_duplicates
@@ -33,6 +33,21 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load(pieces.MODEL_PATH)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, vocabulary, pieces.N_BEST)
+    decoded = pieces.decode(encoded, vocabulary)
+    return decoded.select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "ids",
+        "score",
+        "others",
+        (F.col("text") == F.coalesce("row.text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -76,6 +91,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
+    "op3_sentencepiece": op3_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
