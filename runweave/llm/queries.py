@@ -12,6 +12,7 @@ from runweave.llm.decontaminate import contamination
 from runweave.llm.exact import exact_duplicates
 from runweave.llm.jaccard import near_duplicates
 from runweave.llm.sharding import shard_by_bytes
+from runweave.llm.warc import captures
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
@@ -48,6 +49,17 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = captures(table(spark, sf_dir, "pages"), payloads=False)
+    return found.select(
+        F.col("capture.metadata.page_id").alias("page_id"),
+        F.col("capture.answer.n_bytes").alias("payload_bytes"),
+        F.col("capture.answer.digest").alias("payload_digest"),
+        F.col("capture.answer.kind").alias("record_type"),
+        F.col("capture.metadata.refers_to").alias("refers_to"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -92,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
@@ -109,6 +122,24 @@ ORACLES: dict[str, str] = {
                sha256(norm) as text_sha256
         from t
     """,
+    "op5_warc": """
+        with p as (
+            select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as h
+            from pages
+        ), q as (
+            select *, min(page_id) over (partition by h) as first_id,
+                   [cast('0x' || h[5 * i + 1:5 * i + 5] as integer) for i in range(8)] as parts
+            from p
+        )
+        select page_id, payload_bytes,
+               array_to_string([
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(x >> 15) + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(x >> 10) % 32 + 1]
+                   || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(x >> 5) % 32 + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[x % 32 + 1]
+                   for x in parts], '') as payload_digest,
+               case when page_id = first_id then 'response' else 'revisit' end as record_type,
+               case when page_id <> first_id then first_id end as refers_to
+        from q
+    """,
     "op6_decontamination": f"""
         with i as (
             select item_id, list_filter(string_split_regex({_LOWERED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
