@@ -3,9 +3,9 @@
 Two sets link when ``100 * intersection >= percent * union``; then their
 symmetric difference is at most a known number for their sizes.  Every set is
 XOR-hashed into a bit sketch: each shingle flips one bit.  The Hamming distance of
-two sketches is at most the symmetric difference, so if the sketch of a size band
-is cut into one block more than differences are allowed, two linked sets have a
-block in common.  Sets therefore meet by (band, block, value) keys, are compared
+two sketches, in bits or in blocks of bits, is at most the symmetric difference,
+so if the sketch of a size band is cut into one block more than differences are
+allowed, two linked sets have a block in common.  Sets therefore meet by (band, block, value) keys, are compared
 by the Hamming distance of whole sketches, and are verified on their shingles.
 
 * Texts with equal sets are one class first, so copies meet nobody.
@@ -41,7 +41,7 @@ from runweave.storage import cut_lineage
 # A task tokenises about this many bytes of text at a time.
 SLICE = 2 << 20
 # Shingles of a family in one comparison task.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 200_000
 # The sketch compared before shingles are has at most this many 64-bit words.
 SKETCH_WORDS = 64
 # Into so many buckets ids are hashed to tell early which texts are read again;
@@ -87,6 +87,16 @@ def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(U64)
 
 
+def block_values(shingles: np.ndarray, blocks: int) -> np.ndarray:
+    """What each block of a sketch holds: the XOR of its shingles' hashes, which
+    is a hash of the block's parity bits at any width.  Blocks are equal ranges of
+    the hash, so they are runs of the sorted shingles."""
+    edges = [-(-(j << 64) // blocks) for j in range(1, blocks)]
+    ends = np.concatenate([np.searchsorted(shingles, np.array(edges, U64)), [len(shingles)]])
+    so_far = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(shingles)])[ends]
+    return so_far ^ np.concatenate([np.zeros(1, U64), so_far[:-1]])
+
+
 def band_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """The keys by which a set meets those of its band and of the next ones."""
     own = bands.of(len(shingles))
@@ -95,7 +105,7 @@ def band_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         if band >= 0:
             blocks = bands.blocks(band)
             place = (np.arange(blocks, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(band)
-            keys.append(mix(parity_sketch(shingles, blocks) ^ mix(place)))
+            keys.append(mix(block_values(shingles, blocks) ^ mix(place)))
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
