@@ -10,6 +10,7 @@ from runweave.llm import language, pieces, quality
 from runweave.llm.common import LOWER, UPPER, table
 from runweave.llm.decontaminate import contamination
 from runweave.llm.exact import exact_duplicates
+from runweave.llm.html_text import main_text
 from runweave.llm.jaccard import near_duplicates
 from runweave.llm.sharding import shard_by_bytes
 from runweave.llm.warc import captures
@@ -100,6 +101,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -109,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
+    "op10_html_text": op10_html_text,
 }
 
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
