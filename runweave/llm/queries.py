@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runweave.llm import language, pieces, quality
+from runweave.llm.chat import format_chat
 from runweave.llm.common import LOWER, UPPER, table
 from runweave.llm.decontaminate import contamination
 from runweave.llm.exact import exact_duplicates
@@ -20,6 +21,7 @@ SHARDS = 40
 # Folds by the checksum of the id, and the one that nothing is learned from.
 LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 3, 1
 QUALITY_FOLDS, QUALITY_HELD_OUT = 4, 2
+CHAT_FOLDS, CHAT_HELD_OUT = 3, 1
 QUALITY_GOOD = 0.7
 
 
@@ -50,6 +52,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = language.id_remainder(CHAT_FOLDS, "conv_id")
+    found = format_chat(table(spark, sf_dir, "conversations"), F.coalesce(remainder != CHAT_HELD_OUT, F.lit(False)))
+    held_out = F.coalesce(remainder == CHAT_HELD_OUT, F.lit(False))
+    return found.withColumn("held_out", held_out)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = captures(table(spark, sf_dir, "pages"), payloads=False)
     return found.select(
@@ -110,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_chat_format": op4_chat_format,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
