@@ -13,7 +13,13 @@ U64 = np.uint64
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _BASE = U64(0x9E3779B97F4A7C15)
 _MIX = (U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
-_PLACES = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
+_PLACES = (
+    U64(0xD6E8FEB86659FD93),
+    U64(0xA0761D6478BD642F),
+    U64(0xE7037ED1A0B428DB),
+    U64(0xC2B2AE3D27D4EB4F),
+    U64(0x165667B19E3779F9),
+)
 _SHORT = U64(0x8EBC6AF09C88C6E3)
 
 _is_space = np.zeros(256, bool)
@@ -87,7 +93,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """The sorted distinct hashes of every text's ``k``-word shingles (``k`` at
-    most 3); a text of fewer words is one shingle, one without words none."""
+    most 5); a text of fewer words is one shingle, one without words none."""
     raw = b"\n".join(texts)
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     starts, words = word_hashes(raw)

@@ -8,18 +8,24 @@ so if the sketch of a size band is cut into one block more than differences are
 allowed, two linked sets have a block in common.  Sets therefore meet by (band, block, value) keys, are compared
 by the Hamming distance of whole sketches, and are verified on their shingles.
 
-* Texts with equal sets are one class first, so copies meet nobody.
-* Keys are shuffled alone.  The sets that share a key form a family named after
-  its least member; the shingles are read again only for members of families.
-* A family is first compared with its least member, a linear number of pairs.
-  Only members that do not link with it are compared with the others, in blocks
-  of bounded bytes in which just a spanning set of links leaves the task.
+* Texts with equal sets are one class; its keys leave a task once.
+* Keys are shuffled alone, with the class.  The classes that share a key form a
+  family named after its least member.
+* Members of a family are compared by the Hamming distance of small sketches, in
+  blocks of bounded size; what leaves a task is which members have a partner.
+  Only of those the shingles are read again.
+* They are first compared with the least member, a linear number of pairs.  Only
+  members that do not link with it are compared with the others, again in blocks,
+  of which just a spanning set of links leaves the task.
+* Empty blocks tell little, so a sketch has as many blocks as leave some that are
+  neither empty nor touched by a difference; a set for which they do not also
+  brings its empty blocks.
 * Links become components by star contraction; nothing of it is on the driver.
 
 Edge cases: null and wordless texts have an empty set, link with nothing and are
 components of their own; a text of fewer words than a shingle is one shingle;
 rows that repeat share a component; a null id never names a component unless its
-component has no other.  Shingles are compared by 64-bit hashes.  Other columns
+component has no other.  Shingles and sets are identified by 64-bit hashes.  Other columns
 are not read and cannot clash.
 """
 
@@ -42,13 +48,13 @@ from runweave.storage import cut_lineage
 SLICE = 2 << 20
 # Shingles of a family in one comparison task.
 BLOCK_SHINGLES = 200_000
-# The sketch compared before shingles are has at most this many 64-bit words.
-SKETCH_WORDS = 64
+# A sketch has about so many bits for each difference that is allowed.
+BITS_A_DIFFERENCE = 4
 # Into so many buckets ids are hashed to tell early which texts are read again;
 # the table of buckets is broadcast, 8 bytes each.
 ID_BUCKETS = 1 << 20
 
-SKETCHES = "doc_id long, row_id long, n_shingles long, digest binary, sha string, keys array<long>"
+SKETCHES = "doc_id long, row_id long, n_shingles long, class_id long, sha string, sketch binary"
 
 
 def allowed(a: int, b: int, percent: int) -> int:
@@ -67,6 +73,7 @@ class Bands:
         # A smaller set links only with its equal.
         self.least = low
         self.high = [low]
+        self.counted: dict[int, int] = {}
 
     def of(self, n: int) -> int:
         """The band of a size, -1 below the least."""
@@ -74,10 +81,34 @@ class Bands:
             self.high.append(max(self.high[-1] + 1, self.high[-1] * 100 // self.percent))
         return -1 if n < self.least else int(np.searchsorted(self.high, n))
 
-    def blocks(self, band: int) -> int:
-        """Blocks of a sketch for pairs whose smaller set is in this band."""
+    def differences(self, band: int) -> int:
+        """Allowed for a pair whose smaller set is in this band."""
         high = self.high[band]
-        return allowed(high, high * 100 // self.percent, self.percent) + 1
+        return allowed(high, high * 100 // self.percent, self.percent)
+
+    def blocks_of(self, band: int) -> int:
+        if band not in self.counted:
+            self.counted[band] = self.blocks(band)
+        return self.counted[band]
+
+    def blocks(self, band: int) -> int:
+        """Blocks of a sketch for such pairs: of the smallest sets of the band
+        most leave a filled block that no difference touches."""
+        low = self.high[band - 1] + 1 if band else self.least
+        spoiled = self.differences(band)
+        n = spoiled + 1
+        while n <= 2 * spoiled:
+            empty = n * np.exp(-low / n)
+            if n - empty - 2 * np.sqrt(empty) > spoiled:
+                break
+            n += 1
+        return n
+
+
+def sketch_words(n: int, percent: int) -> int:
+    """64-bit words of the sketch of a set, a power of two."""
+    bits = BITS_A_DIFFERENCE * (allowed(n, n * 100 // percent, percent) + 1)
+    return 1 << max(0, (-(-bits // 64) - 1).bit_length())
 
 
 def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
@@ -87,74 +118,143 @@ def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(U64)
 
 
-def block_values(shingles: np.ndarray, blocks: int) -> np.ndarray:
-    """What each block of a sketch holds: the XOR of its shingles' hashes, which
-    is a hash of the block's parity bits at any width.  Blocks are equal ranges of
-    the hash, so they are runs of the sorted shingles."""
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch with fewer words that the same set would have."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def block_values(shingles: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each block of a sketch holds, and how many shingles: the XOR of their
+    hashes, which is a hash of the block's parity bits at any width.  Blocks are
+    equal ranges of the hash, so they are runs of the sorted shingles."""
     edges = [-(-(j << 64) // blocks) for j in range(1, blocks)]
     ends = np.concatenate([np.searchsorted(shingles, np.array(edges, U64)), [len(shingles)]])
     so_far = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(shingles)])[ends]
-    return so_far ^ np.concatenate([np.zeros(1, U64), so_far[:-1]])
+    return so_far ^ np.concatenate([np.zeros(1, U64), so_far[:-1]]), np.diff(ends, prepend=0)
 
 
 def band_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys by which a set meets those of its band and of the next ones."""
+    """The keys by which a set meets those of its band and of the next ones.
+
+    Of two linked sets either one has more filled blocks than differences are
+    allowed, so that a filled block is equal, or both bring empty blocks too.
+    """
     own = bands.of(len(shingles))
     keys = []
     for band in (own - 1, own):
         if band >= 0:
-            blocks = bands.blocks(band)
-            place = (np.arange(blocks, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(band)
-            keys.append(mix(block_values(shingles, blocks) ^ mix(place)))
+            values, filled = block_values(shingles, bands.blocks_of(band))
+            place = (np.arange(len(values), dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(band)
+            found = mix(values ^ mix(place))
+            keys.append(found[filled > 0] if np.count_nonzero(filled) > bands.differences(band) else found)
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
+def class_number(shingles: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
 def _raw(batch: pa.RecordBatch) -> list[bytes]:
     """Texts as bytes in A-Z lower case; null is empty."""
     return [b"" if (x := t.as_buffer()) is None else x.to_pybytes() for t in batch.column("text")]
 
 
 def sketches(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """Set size, set digest and band keys of every row."""
+    """Size, class and sketch of every row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in slices(batches, "text", SLICE):
             raw = _raw(batch)
             sets = shingle_sets([t.lower() for t in raw], k)
-            keys = [band_keys(s, bands) for s in sets]
-            ends = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("row_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([class_number(s) for s in sets], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
+                    pa.array([parity_sketch(s, sketch_words(len(s), percent)).tobytes() for s in sets], pa.binary()),
                 ],
-                ["doc_id", "row_id", "n_shingles", "digest", "sha", "keys"],
+                ["doc_id", "row_id", "n_shingles", "class_id", "sha", "sketch"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row_id"))
     return rows.mapInArrow(run, SKETCHES)
 
 
-def _families(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+def _families(docs: DataFrame, percent: int, k: int) -> DataFrame:
     """``leader, rid`` of classes that share a key with a class of lesser number."""
-    keyed = sketched.select("row_id", "keys").join(classes.select(F.col("rid").alias("row_id")), "row_id")
-    keyed = keyed.select(F.col("row_id").alias("rid"), F.explode("keys").alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(percent), set()
+        for batch in slices(batches, "text", SLICE):
+            rids, keys = [], []
+            for s in shingle_sets([t.lower() for t in _raw(batch)], k):
+                # Copies of a text bring its keys once a task.
+                if len(s) >= bands.least and (rid := class_number(s)) not in seen:
+                    seen.add(rid)
+                    keys.append(band_keys(s, bands))
+                    rids.append(np.full(len(keys[-1]), rid, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(keys))], ["rid", "key"])
+
+    keyed = docs.select("text").mapInArrow(run, "rid long, key long")
     so_far = Window.partitionBy("key").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)
     met = keyed.withColumn("leader", F.min("rid").over(so_far)).where("leader < rid")
     return cut_lineage(met.select("leader", "rid").distinct(), "families")
 
 
+def _promising(families: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``families`` without members that by their sketch link with no other."""
+    facts = classes.select("rid", "n", "sketch")
+    whole = families.unionByName(families.select("leader", F.col("leader").alias("rid")).distinct())
+    sized = whole.join(facts.select("rid", "n"), "rid")
+    parts = sized.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    dealt = attach_by_key(sized, parts, "leader", "rid")
+    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    # A task has two parts of a family, or one part by itself.
+    dealt = dealt.select("leader", "rid", part.alias("part"), F.explode(others).alias("other"))
+    task = ["leader", "row", "col"]
+    pairs = dealt.select("leader", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"), "rid")
+    ordered = pairs.join(facts, "rid").repartition(*task).sortWithinPartitions(*task)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (leader, _, _), group in _groups(batches, task):
+            near = promising_members(group, percent)
+            if near:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([leader] * len(near), pa.int64()), pa.array(near, pa.int64())], ["leader", "rid"]
+                )
+
+    found = ordered.select(*task, "rid", "n", "sketch").mapInArrow(run, "leader long, rid long")
+    return cut_lineage(found.where("leader <> rid").distinct(), "promising")
+
+
+def promising_members(group: list[dict], percent: int) -> list[int]:
+    """The members of a block that are near another one by their sketches."""
+    rows = sorted(group, key=lambda r: r["n"])
+    sketches = [np.frombuffer(r["sketch"], U64) for r in rows]
+    words = min(len(s) for s in sketches)
+    matrix = np.stack([folded(s, words) for s in sketches])
+    sizes = np.array([r["n"] for r in rows])
+    highs = np.searchsorted(sizes, sizes * 100 // percent + 1)
+    near = np.zeros(len(rows), bool)
+    for i in range(len(rows)):
+        others = slice(i + 1, int(highs[i]))
+        apart = np.bitwise_count(matrix[others] ^ matrix[i]).sum(1, dtype=np.int64)
+        close = apart <= (100 - percent) * (sizes[i] + sizes[others]) // (100 + percent)
+        near[others] |= close
+        near[i] |= bool(close.any())
+    return [r["rid"] for r, is_near in zip(rows, near) if is_near]
+
+
 def _member_sets(docs: DataFrame, families: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """``rid, n, shingles`` of every class in a family, from its first text."""
     members = families.select(F.explode(F.array("leader", "rid")).alias("rid")).distinct()
-    members = cut_lineage(members.join(classes.select("rid", "rid_doc", "digest"), "rid"), "members")
+    members = cut_lineage(members.join(classes.select("rid", "rid_doc"), "rid"), "members")
     doc_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    members = members.select("rid", "digest", F.coalesce("rid_doc", F.lit(-(2**63))).alias("_id"))
+    members = members.select("rid", F.coalesce("rid_doc", F.lit(-(2**63))).alias("_id"))
     buckets = members.select(bucket_of(ID_BUCKETS, "_id").alias("_bucket")).distinct()
     texts = docs.select(doc_key.alias("_id"), F.col("text"))
     texts = texts.withColumn("_bucket", bucket_of(ID_BUCKETS, "_id"))
@@ -164,7 +264,7 @@ def _member_sets(docs: DataFrame, families: DataFrame, classes: DataFrame, k: in
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets([t.lower() for t in _raw(batch)], k)
             # Ids may repeat: another text of the same id is another class.
-            right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py() for s, d in zip(sets, batch.column("digest"))]
+            right = [class_number(s) == rid for s, rid in zip(sets, batch.column("rid").to_pylist())]
             mine = pa.array(right)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -175,7 +275,7 @@ def _member_sets(docs: DataFrame, families: DataFrame, classes: DataFrame, k: in
                 ["rid", "n", "shingles"],
             )
 
-    found = texts.join(members, "_id").select("rid", "digest", "text").mapInArrow(run, "rid long, n long, shingles binary")
+    found = texts.join(members, "_id").select("rid", "text").mapInArrow(run, "rid long, n long, shingles binary")
     return cut_lineage(found.groupBy("rid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
 
 
@@ -304,7 +404,7 @@ def block_links(group: list[dict], percent: int) -> list[tuple[int, int]]:
 
     others = np.array(sorted({r["rid"] for r in group if not r["free"]}, key=lambda r: len(sets[r])))
     sizes = np.array([len(sets[r]) for r in others])
-    words = min(SKETCH_WORDS, max(allowed(int(sizes[-1]), int(sizes[-1]), percent), 0) + 1) if len(others) else 1
+    words = sketch_words(int(sizes[-1]), percent) if len(others) else 1
     sketch = {r: parity_sketch(s, words) for r, s in sets.items()}
     matrix = np.stack([sketch[r] for r in others]) if len(others) else np.zeros((0, words), U64)
     links = []
@@ -324,24 +424,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 3) -> DataFrame
     """Per document ``doc_id, n_shingles, component_id, sha, row_id``; the
     component is named after its smallest ``doc_id``."""
     sketched = cut_lineage(sketches(docs, percent, k), "sketches")
-    some = sketched.where("n_shingles > 0")
-    classes = cut_lineage(
-        some.groupBy("digest").agg(
-            F.min(F.struct("row_id", "doc_id")).alias("first"), F.min("doc_id").alias("least")
-        ).select("digest", F.col("first.row_id").alias("rid"), F.col("first.doc_id").alias("rid_doc"), "least"),
-        "classes",
+    classes = (
+        sketched.where("n_shingles > 0")
+        .groupBy(F.col("class_id").alias("rid"))
+        .agg(
+            F.min(F.struct("row_id", "doc_id"))["doc_id"].alias("rid_doc"),
+            F.min("doc_id").alias("least"),
+            F.min("n_shingles").alias("n"),
+            F.min("sketch").alias("sketch"),
+        )
     )
-    families = _families(sketched, classes)
+    classes = cut_lineage(classes, "classes")
+    families = _promising(_families(docs, percent, k), classes, percent)
     sets = _member_sets(docs, families, classes, k)
     compared = _with_leader(families, sets, percent)
     links = compared.where("linked").select(F.col("leader").alias("a"), F.col("rid").alias("b"))
     links = links.unionByName(_among_members(compared, sets, percent))
     roots = cut_lineage(components(links, "a", "b"), "roots")
-    named = classes.join(roots.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    named = classes.select("rid", "least").join(roots.withColumnRenamed("id", "rid"), "rid", "left")
+    named = named.withColumn("root", F.coalesce("root", "rid"))
     names = named.groupBy("root").agg(F.min("least").alias("name"))
-    named = attach_by_key(named, names, "root", "rid").select("digest", F.col("name").alias("component_id"))
-    rows = sketched.select("doc_id", "row_id", "n_shingles", "digest", "sha")
-    found = attach_by_key(rows, named, "digest", "row_id")
+    named = attach_by_key(named, names, "root", "rid").select(F.col("rid").alias("class_id"), F.col("name").alias("component_id"))
+    rows = sketched.select("doc_id", "row_id", "n_shingles", "class_id", "sha")
+    found = attach_by_key(rows, named, "class_id", "row_id")
     return found.select(
         "doc_id",
         "n_shingles",
