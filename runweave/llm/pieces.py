@@ -33,6 +33,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from runweave.llm.common import slices
@@ -40,10 +41,14 @@ from runweave.llm.hashing import U64, mix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SLICE = 6 << 20
+SLICE = 2 << 20
+# Pieces decoded in one go.
+PIECES_AT_ONCE = 1 << 19
 N_BEST = 3
 # Words of more characters are solved one by one.
 LONG_WORD = 64
+# So many solved words a task keeps in mind.
+WORDS_KEPT = 400_000
 # So many words are solved side by side.
 WORDS_AT_ONCE = 1 << 15
 # Bits of a hash that tell early that a substring is no piece.
@@ -283,6 +288,49 @@ def _solve_short(words: list[str], sizes: np.ndarray, numbers: np.ndarray, out:
     return ids
 
 
+class Memory:
+    """The solved words of a task, so that a word is solved once; forgotten
+    together when there are more than ``WORDS_KEPT``."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.others: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.known = Words(*(np.zeros(0, t) for t in (np.int32, np.int64, np.int64, float, float)))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of every word, solving those not seen before."""
+        if len(self.names) > WORDS_KEPT:
+            self._forget()
+        codes, names = pd.factorize(np.array(words, dtype=object))
+        names = names.tolist()
+        new = [w for w in names if w not in self.number]
+        if new:
+            found, known = solve(new, self.vocabulary), self.known
+            self.number.update(zip(new, range(len(self.names), len(self.names) + len(new))))
+            self.names += new
+            self.known = Words(
+                np.concatenate([known.ids, found.ids.astype(np.int32)]),
+                np.concatenate([known.firsts, found.firsts + len(known.ids)]),
+                np.concatenate([known.sizes, found.sizes]),
+                np.concatenate([known.scores, found.scores]),
+                np.concatenate([known.margins, found.margins]),
+            )
+        return np.array([self.number[w] for w in names], np.int64)[codes]
+
+    def n_best(self, number: int, n: int) -> list[tuple[float, list[int]]]:
+        word = self.names[number]
+        if (word, n) not in self.others:
+            if len(self.others) > WORDS_KEPT // 4:
+                self.others.clear()
+            self.others[word, n] = n_best(word, n, self.vocabulary)
+        return self.others[word, n]
+
+
 def k_least_sums(lists: list[list[float]], k: int) -> list[tuple[float, tuple[int, ...]]]:
     """The ``k`` least sums with one entry of each rising list, and the entries."""
     sums: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
@@ -295,14 +343,13 @@ def k_least_sums(lists: list[list[float]], k: int) -> list[tuple[float, tuple[in
 Edit = tuple[int, int, list[int]]
 
 
-def encode_texts(texts: list[str], n: int, vocabulary: Vocabulary, cache: dict | None = None) -> list[tuple[np.ndarray, float, list[tuple[float, list[Edit]]]]]:
+def encode_texts(texts: list[str], n: int, memory: Memory) -> list[tuple[np.ndarray, float, list[tuple[float, list[Edit]]]]]:
     """Per text: the ids of its best segmentation, their score, and the other
     segmentations as score and edits ``(at, pieces replaced, ids)`` of the ids."""
-    cache = {} if cache is None else cache
     split = [WORD.findall(" " + t) if t else [] for t in texts]
     lengths = np.array([len(w) for w in split])
-    codes, names = pd.factorize(np.array([w for words in split for w in words], dtype=object))
-    words = solve(list(names), vocabulary)
+    codes = memory.numbers([w for words in split for w in words])
+    words = memory.known
     sizes = words.sizes[codes]
     ends = np.cumsum(sizes)
     flat = words.ids[np.repeat(words.firsts[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
@@ -319,14 +366,7 @@ def encode_texts(texts: list[str], n: int, vocabulary: Vocabulary, cache: dict |
             margins = words.margins[own]
             near = np.argpartition(margins, n - 2)[: n - 1] if len(own) >= n else np.arange(len(own))
             near = np.sort(near[np.isfinite(margins[near])]).tolist()
-            lists = []
-            for j in near:
-                word = names[own[j]]
-                if (word, n) not in cache:
-                    if len(cache) > 100_000:
-                        cache.clear()
-                    cache[word, n] = n_best(word, n, vocabulary)
-                lists.append(cache[word, n])
+            lists = [memory.n_best(int(own[j]), n) for j in near]
             costs = [[found[0][0] - s for s, _ in found] for found in lists]
             for cost, chosen in k_least_sums(costs, n)[1:]:
                 edits = [
@@ -347,10 +387,14 @@ def apply_edits(ids: list[int], edits: list[Edit]) -> list[int]:
     return out
 
 
+def _joined(spelled: list[bytes]) -> str:
+    raw = b"".join(spelled)
+    return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
+
+
 def decode_ids(ids: list[int], vocabulary: Vocabulary) -> str:
     """The text that ids stand for; the space put before a text is taken off."""
-    raw = b"".join([vocabulary.spelled[i] for i in ids])
-    return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
+    return _joined([vocabulary.spelled[i] for i in ids])
 
 
 EDIT = T.StructType(
@@ -372,9 +416,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
+        memory = Memory(vocabulary)
         for batch in slices(batches, "text", SLICE):
-            found = encode_texts([t or "" for t in batch.column("text").to_pylist()], n, vocabulary, cache)
+            found = encode_texts([t or "" for t in batch.column("text").to_pylist()], n, memory)
             ends = np.cumsum([0] + [len(ids) for ids, _, _ in found]).astype(np.int32)
             flat = np.concatenate([ids for ids, _, _ in found]).astype(np.int32)
             others = [
@@ -404,12 +448,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``encoded`` with ``text``, what its ``ids`` stand for; null ids are empty."""
-    spelled = vocabulary
+    spelled = np.array(vocabulary.spelled, dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [decode_ids(ids or [], spelled) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            sizes = pc.list_value_length(batch.column("ids")).fill_null(0).to_numpy(zero_copy_only=False)
+            group = (np.cumsum(sizes) - sizes) // PIECES_AT_ONCE
+            cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(sizes))
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(low, high - low)
+                ends = np.cumsum(sizes[low:high])
+                raw = spelled[part.column("ids").flatten().to_numpy()].tolist()
+                texts = [_joined(raw[end - size : end]) for end, size in zip(ends.tolist(), sizes[low:high].tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
 
     schema = T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())])
     return encoded.mapInArrow(run, schema)
