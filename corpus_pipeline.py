@@ -2,19 +2,33 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet in the shared folder and read again as the next one's input.
+Documents stay unless a stage has a reason to drop them: no language, an equal
+text with a larger id, a near-duplicate with a smaller id, or passages of the
+benchmark.  The last stage adds the pieces of each text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from runweave.llm import language, pieces
 from runweave.llm.common import table
+from runweave.llm.decontaminate import drop_contaminated
 from runweave.llm.exact import drop_exact_duplicates
+from runweave.llm.jaccard import drop_near_duplicates
 from runweave.storage import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# Near-duplicates share this percentage of their shingles of so many words.
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has no language go."""
+    model = language.fit(docs, F.col("doc_id").isNotNull())
+    return language.drop_unknown(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +36,39 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs, keep="largest")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return drop_near_duplicates(docs, NEAR_PERCENT, NEAR_WORDS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with too much of the benchmark in them go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text as pieces, decoded again: ``round_trip`` says it is the same."""
+    vocabulary = pieces.load(pieces.MODEL_PATH)
+    decoded = pieces.decode(pieces.encode(docs, vocabulary, pieces.N_BEST), vocabulary)
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return decoded.select(
+        *kept,
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.col("ids").alias("piece_ids"),
+        F.col("score").alias("piece_score"),
+        F.col("others").alias("other_segmentations"),
+        (F.col("text") == F.coalesce("row.text", F.lit(""))).alias("round_trip"),
+    )
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
 ]
+# Learned models and searches have no form in SQL.
 ORACLE_SQL: str | None = None
 
 

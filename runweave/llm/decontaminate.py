@@ -76,11 +76,14 @@ def _sized(small: DataFrame, n_rows: int) -> DataFrame:
 
 def matching_shingles(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """One row per document (``pos`` null) and one per place where a document has
-    a shingle of the benchmark: ``row_id, doc_id, n_words, k, pos, shingle``."""
+    a shingle of the benchmark: ``row_id, doc_id, mark, n_words, k, pos, shingle``;
+    ``mark`` is a hash of the text."""
     wanted = windows.select("k", F.explode("shingles").alias("shingle")).distinct()
     wanted = cut_lineage(wanted.select(F.col("shingle").alias("hash"), F.col("k").alias("of")), "shingles")
     found = wanted.groupBy("of").count().collect()  # at most SHINGLE rows
-    rows = docs.select("doc_id", words_of("text").alias("words"), F.monotonically_increasing_id().alias("row_id"))
+    rows = docs.select(
+        "doc_id", F.xxhash64("text").alias("mark"), words_of("text").alias("words"), F.monotonically_increasing_id().alias("row_id")
+    )
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
     parts = [F.array(F.struct(F.lit(0).alias("k"), F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("shingle")))]
     for r in found:
@@ -88,7 +91,8 @@ def matching_shingles(docs: DataFrame, windows: DataFrame) -> DataFrame:
         places = F.when(F.col("n_words") >= k, F.sequence(F.lit(0), F.col("n_words").cast("int") - k)).otherwise(F.array().cast("array<int>"))
         hashes = _shingles_at("words", places, k)
         parts.append(F.transform(hashes, _placed_by(k)))
-    placed = rows.select("row_id", "doc_id", "n_words", F.explode(F.concat(*parts)).alias("s")).select("row_id", "doc_id", "n_words", "s.*")
+    placed = rows.select("row_id", "doc_id", "mark", "n_words", F.explode(F.concat(*parts)).alias("s"))
+    placed = placed.select("row_id", "doc_id", "mark", "n_words", "s.*")
     small = _sized(wanted, sum(r["count"] for r in found))
     joined = placed.join(small, (F.col("shingle") == F.col("hash")) & (F.col("k") == F.col("of")), "left")
     return joined.where("hash is not null or k = 0").drop("hash", "of")
@@ -155,7 +159,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         .groupBy("row_id")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    out = matches.where("k = 0").select("row_id", "doc_id", "n_words")
+    out = matches.where("k = 0").select("row_id", "doc_id", "mark", "n_words")
     out = out.join(lengths, "row_id", "left").join(listed, "row_id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     found = F.coalesce("items", F.array().cast("array<string>"))
@@ -166,5 +170,15 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.size(found).cast("long").alias("n_items"),
         found.alias("items"),
         ((n_hit > 0) & (n_hit * ONE_WORD_IN >= F.col("n_words"))).alias("contaminated"),
-        "row_id",
+        "mark",
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, as they are."""
+    bad = contamination(docs, items).where("contaminated").select("doc_id", "mark").distinct()
+    bad = cut_lineage(bad.select(F.col("doc_id").alias("_bad_id"), F.col("mark").alias("_bad_mark")), "contaminated")
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("_row.text") == F.col("_bad_mark"))
+    return rows.join(_sized(bad, bad.count()), same, "left_anti").select("_row.*")
