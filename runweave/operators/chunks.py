@@ -59,7 +59,9 @@ def range_pivots(
 ) -> list:
     """``p - 1`` ascending pivots that cut ``col`` into ``p`` ranges.
 
-    ``approx`` takes them from a bounded random sample.  ``stride`` is exact:
+    ``approx`` takes them from a bounded random sample, which holds all rows of
+    a small table; so they are exact there and close to it beyond, and only
+    their rank error is promised.  ``stride`` is exact:
     every (rows/2000)-th value of each sorted ``run``, pooled, then evenly
     spaced entries of the pool.
     """

@@ -18,6 +18,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runweave.functions.rows import row_hash
 from runweave.operators.ranges import (
     SampledRanges,
     default_ranges,
@@ -84,7 +85,7 @@ def plan_layout(
     ranges = sample_ranges(source, split, n_rows, p)
     crowded = bool(ranges.hot)
     if crowded and rest:
-        source, split = df.withColumn(TIE, F.xxhash64(*rest)), [*keys, TIE]
+        source, split = df.withColumn(TIE, row_hash(df, rest)), [*keys, TIE]
         ranges = sample_ranges(source, split, n_rows, p)
     return Layout(source, columns, list(keys), split, n_rows, p, ranges, crowded)
 
@@ -211,7 +212,7 @@ def _sorted_parts(layout: Layout, rows: DataFrame, n_parts: int, ties: bool = Fa
     that is the same every time."""
     parts = rows.repartitionById(n_parts, PART)
     if ties and layout.rest:
-        return parts.sortWithinPartitions(*layout.keys, F.xxhash64(*layout.rest))
+        return parts.sortWithinPartitions(*layout.keys, row_hash(parts, layout.rest))
     return parts.sortWithinPartitions(*layout.keys)
 
 

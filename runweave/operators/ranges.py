@@ -20,6 +20,10 @@ SAMPLE_PER_RANGE = 100
 MIN_SAMPLE = 10_000
 MAX_SAMPLE = 1_000_000
 SAMPLE_SEED = 7
+# Bytes of keys that one task sorts; fewer keys are drawn where keys are long.
+SAMPLE_BYTES = 64 << 20
+# A cut need not be a whole key: of a long text its beginning will do.
+CUT_CHARS = 1_000
 # Keys drawn exactly twice that make the estimate of all keys worth using.
 MIN_PAIRS = 10
 # Rows per key from which counting keys beats sorting rows.
@@ -99,6 +103,11 @@ def sample_ranges(df: DataFrame, cols: list[str], n_rows: int, p: int) -> Sample
     """
     target = max(MIN_SAMPLE, min(MAX_SAMPLE, SAMPLE_PER_RANGE * p))
     keys = df.select(*cols)
+    texts = [c for c, dtype in zip(cols, _dtypes(df, cols)) if dtype in ("string", "binary")]
+    if texts and n_rows:
+        lengths = sum(F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts)
+        mean = keys.agg(F.avg(lengths)).first()[0] or 0
+        target = max(1, min(target, int(SAMPLE_BYTES / max(1, mean))))
     whole = n_rows <= target
     if not whole:
         keys = keys.sample(fraction=target / n_rows, seed=SAMPLE_SEED)
@@ -142,7 +151,24 @@ def sample_ranges(df: DataFrame, cols: list[str], n_rows: int, p: int) -> Sample
     if not row["m"]:
         return SampledRanges(list(cols), [], n_rows, 0)
     n_keys = _estimate_keys(row["distinct"], row["once"], row["twice"], whole)
-    return SampledRanges(list(cols), [tuple(t) for t in row["picks"]], n_rows, n_keys)
+    drawn = [tuple(t) for t in row["picks"]]
+    if _dtypes(df, cols)[0] == "string":
+        drawn = _shortened(drawn)
+    return SampledRanges(list(cols), drawn, n_rows, n_keys)
+
+
+def _shortened(drawn: list[tuple]) -> list[tuple]:
+    """Cuts with long texts cut off, still in order.  Those drawn more than once
+    are hot keys and stay whole."""
+    out: list[tuple] = []
+    for i, t in enumerate(drawn):
+        hot = t in drawn[max(0, i - 1) : i] or t in drawn[i + 1 : i + 2]
+        if not hot and t[0] is not None and len(t[0]) > CUT_CHARS:
+            t = (t[0][:CUT_CHARS], *t[1:])
+            if out and out[-1][0] is not None and t[0] <= out[-1][0]:
+                continue
+        out.append(t)
+    return out
 
 
 def _dtypes(df: DataFrame, cols: list[str]) -> list[str]:
@@ -207,10 +233,27 @@ def is_hot(df: DataFrame, ranges: SampledRanges, number: str) -> Column:
 
 
 def assign_range(df: DataFrame, col: str, pivots: list) -> DataFrame:
-    """Add ``bucket int``: pivot[b-1] <= value < pivot[b]."""
-    if any(a > b for a, b in zip(pivots, pivots[1:])):
+    """Add ``bucket int``: pivot[b-1] <= value < pivot[b].  Null pivots, like null
+    values, are least.
+
+    One deterministic expression, a binary search over one constant array, so
+    that filters on other columns still reach the scan.
+    """
+    known = [v for v in pivots if v is not None]
+    nulls = len(pivots) - len(known)
+    if any(v is None for v in pivots[nulls:]) or any(a > b for a, b in zip(known, known[1:])):
         raise ValueError("pivots must be in ascending order")
-    return range_number(df, [col], [(v,) for v in pivots], "bucket")
+    if not known:
+        return df.withColumn("bucket", F.lit(nulls))
+    array = literal_array(known, dict(df.dtypes)[col])
+    steps = [1 << k for k in reversed(range(len(known).bit_length()))]
+
+    def step(found: Column, width: Column) -> Column:
+        # Whether the next `width` pivots are all <= the value.
+        return F.when(F.get(array, found + width - 1) <= F.col(col), found + width).otherwise(found)
+
+    search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+    return df.withColumn("bucket", search + F.lit(nulls))
 
 
 def range_histogram(ranged: DataFrame, col: str = "v") -> DataFrame:

@@ -58,8 +58,9 @@ def _ends(df: DataFrame, order: list[str], limit: int) -> DataFrame:
 
 
 def preview(df: DataFrame, order_by: str, k: int = PREVIEW_ROWS) -> DataFrame:
-    """First and last values of ``df`` in the order of ``order_by``."""
-    return _ends(df, [order_by], k)
+    """First and last values of ``df`` in the order of ``order_by``; ties are in
+    the order of the other columns, so the two ends do not overlap."""
+    return _ends(df, [order_by, *[c for c in df.columns if c != order_by]], k)
 
 
 def ledger_view(ledger: DataFrame, session_seed: int, limit: int = LEDGER_ROWS) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from runweave.operators.groups import attach_group_totals
 from runweave.operators.layout import (
@@ -15,7 +16,7 @@ from runweave.operators.layout import (
     place_to_position,
     plan_layout,
 )
-from runweave.operators.ranges import range_number, sample_ranges
+from runweave.operators.ranges import assign_range, literal_array, sample_ranges
 from runweave.storage import cut_lineage
 
 # Folder column of a directory of runs.
@@ -35,6 +36,8 @@ def global_sort(
     out; the counted layout where a key is hot (its rows would meet in one
     task) or where rows are bare keys that repeat (counting replaces sorting).
     Reads ``df`` again for the sort, so its rows must not change in between.
+    ``num_partitions`` is a hint: a hot key spans the partitions it needs, and few
+    distinct keys fill fewer.
     """
     keys = _names(keys)
     layout = plan_layout(df, keys, num_partitions)
@@ -61,10 +64,11 @@ def position_in_group(df: DataFrame, group: str, key: str) -> DataFrame:
     """Add ``rn`` (0-based position within ``group``, by ``key``) and
     ``group_rows``.  Groups of any size: positions are global ones less the
     group's first, never a window over a group."""
-    placed = cut_lineage(global_position(df, [group, key]), "positions")
-    totals = placed.groupBy(group).agg(
-        F.count("*").alias("group_rows"), F.min("pos").alias("__first")
-    )
+    sizes = cut_lineage(df.groupBy(group).agg(F.count("*").alias("group_rows")), "group-sizes")
+    # A group begins where the groups before it end: one row per group.
+    before = W.orderBy(F.asc(group)).rowsBetween(W.unboundedPreceding, -1)
+    totals = sizes.withColumn("__first", F.coalesce(F.sum("group_rows").over(before), F.lit(0)))
+    placed = global_position(df, [group, key])
     joined = attach_group_totals(placed, totals, group, "group_rows")
     return joined.withColumn("rn", F.col("pos") - F.col("__first")).drop("pos", "__first")
 
@@ -89,10 +93,10 @@ def sorted_runs(chunked: DataFrame, key: str = "v", chunk: str = "chunk_id") ->
     """Each chunk sorted on its own and kept together under its id.
 
     The range exchange is on (chunk, key): a chunk larger than a task is
-    continued in the next partition, and rows that agree in both are at most
-    one chunk's worth (`MAX_CHUNK`).
+    continued in the next partition, and where rows that agree in both are more
+    than a task's worth they are split too.
     """
-    return chunked.orderBy(chunk, key)
+    return global_sort(chunked, [chunk, key])
 
 
 def _union(runs: list[DataFrame | None]) -> DataFrame | None:
@@ -113,7 +117,14 @@ def merge_runs(
     """
     spark = spark or SparkSession.getActiveSession()
     if isinstance(runs, str):
-        return global_sort(spark.read.parquet(runs).drop(RUN_ID), key, num_partitions)
+        try:
+            stored = spark.read.parquet(runs).drop(RUN_ID)
+        except AnalysisException as e:
+            # A folder without a run yet.
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return spark.createDataFrame([], f"{key} bigint")
+        return global_sort(stored, key, num_partitions)
     present = [r for r in runs if r is not None]
     if not present:
         return spark.createDataFrame([], f"{key} bigint")
@@ -133,12 +144,20 @@ def range_merge(
 
     The bucket is a label worked out from the key, not the task: a range that
     holds more than its share of the rows (a hot key, uneven pivots) spans as
-    many tasks as it needs.  No pivots given: ``p`` ranges of a sample.
+    many tasks as it needs.  No pivots given: ``p`` ranges of a sample.  No runs
+    give an empty result, one run of a list is returned in its own order.
     """
-    df = runs if isinstance(runs, DataFrame) else _union(runs)
+    if isinstance(runs, DataFrame):
+        df, ordered = runs, None
+    else:
+        present = [r for r in runs if r is not None]
+        df = _union(present)
+        if df is None:
+            spark = SparkSession.getActiveSession()
+            return spark.createDataFrame([], f"{key} bigint, bucket int")
+        ordered = df if len(present) == 1 else None
     if pivots is None:
         drawn = sample_ranges(df, [key], df.count(), p).drawn
-        cuts = [t for t in drawn if t[0] is not None]
-    else:
-        cuts = [(v,) for v in pivots]
-    return range_number(global_sort(df, key, p), [key], cuts, "bucket")
+        typed = literal_array([t[0] for t in drawn], dict(df.dtypes)[key])
+        pivots = df.sparkSession.range(1).select(typed.alias("a")).first()["a"] if drawn else []
+    return assign_range(global_sort(df, key, p) if ordered is None else ordered, key, pivots)

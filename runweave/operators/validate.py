@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from runweave.functions.scalars import chunk_seed
+from runweave.functions.rows import row_hash
 from runweave.operators.ranges import default_ranges, range_number, sample_ranges
 
 MASTER = "Master Node"
@@ -16,7 +17,8 @@ def check_sorted(
     """One row: ``n, inner_violations, boundary_violations, is_sorted``.
 
     Rows are read in the order (chunk, seq).  A row less than the one before
-    it is a violation: inner within a chunk, boundary between two chunks.
+    it is a violation: inner within a chunk, boundary between two chunks.  Nulls
+    are least and NaN is greatest.
     Ranges of (chunk, seq) are checked side by side, then the seams between
     ranges from one row per range, so the size of a chunk does not matter.
     """
@@ -28,7 +30,9 @@ def check_sorted(
 
     def drops(order: W, this_c: str, this_v: str, prev_c: str, prev_v: str) -> list[Column]:
         c, v = F.lag(prev_c).over(order), F.lag(prev_v).over(order)
-        drop, same = v > F.col(this_v), c.eqNullSafe(F.col(this_c))
+        # Null is the least value and NaN the greatest, as in a sort.
+        drop = v.isNotNull() & (F.col(this_v).isNull() | (v > F.col(this_v)))
+        same = c.eqNullSafe(F.col(this_c))
         return [(drop & same).alias("inner"), (drop & ~same).alias("boundary")]
 
     def count(name: str):
@@ -70,7 +74,7 @@ def check_order(df: DataFrame, col: str) -> DataFrame:
 
     The check of a finished sort: each task compares neighbours in Arrow
     batches, carrying the last value from batch to batch, and reports its first
-    and last value; nothing is shuffled but those.  Nulls come first.
+    and last value; nothing is shuffled but those.  Nulls come first, NaN last.
     """
     dtype = df.schema[col].dataType.simpleString()
 
@@ -92,6 +96,10 @@ def check_order(df: DataFrame, col: str) -> DataFrame:
                 before, after = pa.concat_arrays([last, values[:-1]]), values
             less = pc.fill_null(pc.less(after, before), False)
             lost = pc.and_(pc.is_null(after), pc.is_valid(before))
+            if pa.types.is_floating(values.type):
+                # Arrow finds nothing less than NaN.
+                was, is_ = (pc.fill_null(pc.is_nan(x), False) for x in (before, after))
+                less = pc.or_(less, pc.and_(was, pc.and_(pc.is_valid(after), pc.invert(is_))))
             drops += pc.sum(pc.or_(less, lost)).as_py() or 0
             n += len(values)
             last = values[-1:]
@@ -119,14 +127,15 @@ def check_order(df: DataFrame, col: str) -> DataFrame:
 
 def check_conserved(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: row counts on both sides, whether they are equal, and whether
-    the rows themselves are (order aside, by a sum of row hashes)."""
+    the rows themselves are (order aside, by a sum of row hashes in which nulls
+    count; 0.0 and -0.0 are the same)."""
 
     # Four 16-bit lanes of the hash: their sums fit a bigint for 10**14 rows.
     lanes = [f"h{i}" for i in range(4)]
 
     def side(df: DataFrame, sign: int) -> DataFrame:
         # Aggregated before they meet: one row a side.
-        h = F.xxhash64(*df.columns)
+        h = row_hash(df, df.columns)
         sums = [
             F.coalesce(F.sum(F.shiftright(h, 16 * i).bitwiseAND(0xFFFF)), F.lit(0)).alias(lane)
             for i, lane in enumerate(lanes)

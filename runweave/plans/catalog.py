@@ -41,12 +41,14 @@ from runweave.operators import (
 )
 from runweave.plans import inputs as src
 from runweave.sources import (
+    draw_uniform,
     generate_sorted,
     generate_uniform,
     number_lines,
     read_numbers,
     write_numbers,
 )
+from runweave.sources.generate import HIGH, LOW, PRIME, ROUNDS, SECOND_SEED
 from runweave.storage import shared_path
 from runweave.streaming import live_sources, session_stream, source_sessions, stream_runs
 
@@ -308,53 +310,66 @@ def number_file_rejected(spark, sf_dir):
 # ------------------------------------------------------------- generators
 
 
-def _lineitem_rows(spark, sf_dir):
-    return src.table(spark, sf_dir, "lineitem").count()
+def _drawn_sql(rows: str, key: str) -> str:
+    """A table ``drawn`` of ``key, v``: the same integer arithmetic, step by step."""
+    steps = [f"start AS (SELECT {key} AS key FROM {rows})"]
+    for name, seed in (("a", SEED % PRIME), ("b", (SEED + SECOND_SEED) % PRIME)):
+        steps.append(
+            f"{name}0 AS (SELECT key, CAST((key % {PRIME} + ((key >> 31) % {PRIME}) * 31 + {seed}) % {PRIME} AS BIGINT) AS x FROM start)"
+        )
+        for i, (factor, term) in enumerate(ROUNDS, 1):
+            steps.append(
+                f"{name}{i} AS (SELECT key, (xor(x, x >> 15) * {factor} + {term}) % {PRIME} AS x FROM {name}{i - 1})"
+            )
+    n = len(ROUNDS)
+    steps.append(
+        f"drawn AS (SELECT a{n}.key, (a{n}.x * {PRIME} + b{n}.x) % {HIGH - LOW + 1} + {LOW} AS v FROM a{n} JOIN b{n} USING (key))"
+    )
+    return "WITH " + ", ".join(steps)
+
 
+def _drawn(spark, sf_dir):
+    orders = src.table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", draw_uniform("o_orderkey", seed=SEED).alias("v"))
 
-@query()
+
+@query(_drawn_sql("orders", "o_orderkey") + " SELECT key AS o_orderkey, v FROM drawn")
 def generate_uniform_rows(spark, sf_dir):
-    return generate_uniform(spark, _lineitem_rows(spark, sf_dir), seed=SEED)
+    """A value for every order, drawn from its key."""
+    return _drawn(spark, sf_dir)
 
 
 @query(
-    "SELECT count(*) AS n, count(*) AS in_domain, count(*) AS positions, true AS even FROM lineitem"
+    _drawn_sql("orders", "o_orderkey")
+    + " SELECT (v - 1) // 1000000 AS tenth, count(*) AS n, min(v) AS lo, max(v) AS hi FROM drawn GROUP BY 1"
 )
 def generate_uniform_audit(spark, sf_dir):
-    """As many values as lineitem has rows, all in the domain, and every tenth
-    of the domain holding a tenth of them within one part in twenty."""
-    n = _lineitem_rows(spark, sf_dir)
-    rows = generate_uniform(spark, n, seed=SEED)
-    tenths = rows.groupBy(F.expr("(v - 1) div 1000000").alias("tenth")).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("v").between(1, 10_000_000)).alias("in_domain"),
-        (F.max("pos") + 1).alias("positions"),
-    )
-    return tenths.agg(
-        F.sum("n").alias("n"),
-        F.sum("in_domain").alias("in_domain"),
-        F.max("positions").alias("positions"),
-        F.every(F.abs(F.col("n") * 10 / n - 1) < (0.05 if n > 50_000 else 0.2)).alias("even"),
+    """How many values fall into each tenth of the domain."""
+    tenth = F.expr("(v - 1) div 1000000").alias("tenth")
+    return _drawn(spark, sf_dir).groupBy(tenth).agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
 
 
-@query()
+@query(
+    _drawn_sql("orders", "o_orderkey")
+    + " SELECT row_number() OVER (ORDER BY v) - 1 AS pos, v FROM drawn"
+)
 def generate_sorted_rows(spark, sf_dir):
-    return generate_sorted(spark, _lineitem_rows(spark, sf_dir), seed=SEED)
+    """The drawn values in order, piped into the sort."""
+    return global_position(_drawn(spark, sf_dir).select("v"), "v")
 
 
 @query(
-    "SELECT count(*) AS n, CAST(0 AS BIGINT) AS violations, true AS is_sorted, true AS same_rows "
-    "FROM lineitem"
+    _drawn_sql("lineitem_positions", "pos").replace(
+        "WITH ", "WITH lineitem_positions AS (SELECT range AS pos FROM range((SELECT count(*) FROM lineitem))), ", 1
+    )
+    + " SELECT row_number() OVER (ORDER BY v) - 1 AS pos, v FROM drawn"
 )
 def generate_sorted_audit(spark, sf_dir):
-    """The sorted values, in order as they lie, are the generated ones."""
-    n = _lineitem_rows(spark, sf_dir)
-    result = generate_sorted(spark, n, seed=SEED)
-    same = check_conserved(generate_uniform(spark, n, seed=SEED).select("v"), result)
-    return check_order(result, "v").select(
-        "*", same.select(F.col("count_ok") & F.col("content_ok")).scalar().alias("same_rows")
-    )
+    """As many generated values as lineitem has rows, in order as they lie."""
+    n = src.table(spark, sf_dir, "lineitem").count()
+    return index_rows(generate_sorted(spark, n, seed=SEED))
 
 
 # ---------------------------------------------------------------- scalars
@@ -402,7 +417,9 @@ def _sortedness_sql(v: str) -> str:
 
 def _sortedness(spark, sf_dir, v):
     rows = src.table(spark, sf_dir, "orders").select(
-        F.expr("o_orderkey div 1000").alias("chunk_id"), "o_orderkey", F.col(v).alias("v")
+        F.expr("o_orderkey div 1000").alias("chunk_id"),
+        "o_orderkey",
+        (F.col(v) if isinstance(v, str) else v).alias("v"),
     )
     return check_sorted(rows, "chunk_id", "o_orderkey", "v")
 
@@ -417,6 +434,22 @@ def check_sorted_violations(spark, sf_dir):
     return _sortedness(spark, sf_dir, "o_custkey")
 
 
+# A null in every seventh row, in key order.
+HOLED = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END"
+
+
+@query(
+    f"""WITH b AS (SELECT o_orderkey, o_orderkey // 1000 AS c, {HOLED} AS v FROM orders),
+    r AS (SELECT c, v, lag(c) OVER w AS pc, lag(v) OVER w AS pv FROM b WINDOW w AS (ORDER BY o_orderkey)),
+    d AS (SELECT *, pc IS NOT NULL AND pv IS NOT NULL AND (v IS NULL OR pv > v) AS drop FROM r)
+    SELECT count(*) AS n, count(*) FILTER (WHERE drop AND pc = c) AS inner_violations,
+           count(*) FILTER (WHERE drop AND pc <> c) AS boundary_violations,
+           count(*) FILTER (WHERE drop) = 0 AS is_sorted FROM d"""
+)
+def check_sorted_nulls(spark, sf_dir):
+    return _sortedness(spark, sf_dir, F.expr(HOLED))
+
+
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS violations, true AS is_sorted FROM lineitem")
 def check_order_sorted(spark, sf_dir):
     return check_order(global_sort(src.part_keys(spark, sf_dir), "v"), "v")
@@ -447,6 +480,18 @@ def check_conserved_sorted(spark, sf_dir):
     return check_conserved(rows, global_sort(rows, "v"))
 
 
+@query(
+    """SELECT count(*) AS n_before, count(*) AS n_after, true AS count_ok,
+              count(*) FILTER (WHERE (o_orderkey % 2 = 0)) = 0 AND count(*) = 0 AS content_ok FROM orders"""
+)
+def check_conserved_swapped(spark, sf_dir):
+    """A null and a value that change columns are other rows."""
+    orders = src.table(spark, sf_dir, "orders")
+    none = F.lit(None).cast("bigint")
+    before = orders.select(none.alias("a"), F.col("o_orderkey").alias("b"))
+    return check_conserved(before, orders.select(F.col("o_orderkey").alias("a"), none.alias("b")))
+
+
 # Chunks go missing, come back twice, come back unplanned or with other sizes.
 FAULTY_SQL = """
 SELECT chunk_id + CASE WHEN chunk_id % 89 = 0 THEN 1000000000 ELSE 0 END AS chunk_id,
@@ -507,6 +552,18 @@ def preview_values(spark, sf_dir):
     return preview(src.part_keys(spark, sf_dir), "v")
 
 
+@query(
+    """WITH p AS (SELECT o_orderkey % 3 AS v, o_orderkey,
+                         row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) - 1 AS pos,
+                         count(*) OVER () AS n FROM orders)
+    SELECT CASE WHEN n <= 8 THEN 'all' WHEN pos < 4 THEN 'head' ELSE 'tail' END AS side, pos, n, v, o_orderkey
+    FROM p WHERE n <= 8 OR pos < 4 OR pos >= n - 4"""
+)
+def preview_ties(spark, sf_dir):
+    orders = src.table(spark, sf_dir, "orders")
+    return preview(orders.select(F.expr("o_orderkey % 3").alias("v"), "o_orderkey"), "v")
+
+
 @query(
     f"""WITH l AS (SELECT *, row_number() OVER (ORDER BY chunk_id) - 1 AS pos,
                           count(*) OVER () AS n FROM ({src.LEDGER_SQL}))
@@ -636,3 +693,26 @@ def source_sessions_stream(spark, sf_dir):
     )
     query.awaitTermination()
     return _as_given(spark.read.schema(sessions.schema).parquet(out))
+
+
+# ---------------------------------------------------- positions, special keys
+
+
+@query("SELECT count(*) AS n, count(*) AS same FROM orders")
+def global_position_ties(spark, sf_dir):
+    """Rows with equal keys that differ in nulls get the same positions when the
+    input comes in another order."""
+    a = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey"))
+    b = F.when(F.col("o_orderkey") % 2 == 1, F.col("o_custkey"))
+    rows = src.table(spark, sf_dir, "orders").select(F.expr("o_orderkey % 5").alias("k"), a.alias("a"), b.alias("b"), "o_orderkey")
+    one = global_position(rows, "k").select("o_orderkey", F.col("pos").alias("one"))
+    other = global_position(rows.orderBy(F.desc("o_orderkey")), "k").select("o_orderkey", F.col("pos").alias("other"))
+    both = one.join(other, "o_orderkey")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("one") == F.col("other")).alias("same"))
+
+
+@query("SELECT row_number() OVER (ORDER BY text) - 1 AS pos, md5(text) AS text_md5 FROM documents")
+def global_position_texts(spark, sf_dir):
+    """Whole texts as sort keys."""
+    texts = src.table(spark, sf_dir, "documents").select("text")
+    return global_position(texts, "text").select("pos", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runweave.operators.sorting import global_sort
 
@@ -10,6 +10,32 @@ from runweave.operators.sorting import global_sort
 LOW, HIGH = 1, 10_000_000
 
 
+# Fixed values of the mixing: a prime below 2**31, and factors and terms below it.
+PRIME = 2_147_483_647
+ROUNDS = ((1_103_515_245, 12_345), (1_664_525, 1_013_904_223), (69_069_413, 907_133_923))
+SECOND_SEED = 486_187_739
+
+
+def _mixed(key: Column, seed: Column) -> Column:
+    """A number below PRIME from a key, by products that fit 64 bits."""
+    x = F.pmod(F.pmod(key, F.lit(PRIME)) + F.pmod(F.shiftright(key, 31), F.lit(PRIME)) * 31 + seed, F.lit(PRIME))
+    for factor, term in ROUNDS:
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(factor) + F.lit(term), F.lit(PRIME))
+    return x
+
+
+def draw_uniform(key: Column | str, low: int = LOW, high: int = HIGH, seed: int = 0) -> Column:
+    """A uniform integer in ``low..high`` for each (integer) key: the same for the
+    same key and seed wherever and whenever it is drawn."""
+    if high < low:
+        raise ValueError("low must not exceed high")
+    key = (F.col(key) if isinstance(key, str) else key).cast("bigint")
+    first = _mixed(key, F.lit(seed % PRIME).cast("bigint"))
+    second = _mixed(key, F.lit((seed + SECOND_SEED) % PRIME).cast("bigint"))
+    wide = first * F.lit(PRIME) + second
+    return (F.pmod(wide, F.lit(high - low + 1)) + F.lit(low)).cast("bigint")
+
+
 def generate_uniform(
     spark: SparkSession,
     n: int,
@@ -20,15 +46,12 @@ def generate_uniform(
 ) -> DataFrame:
     """``n`` rows ``(pos, v)`` with ``v`` uniform in ``low..high``.
 
-    Each value is a hash of its position and the seed, so it is the same for
+    Each value is drawn from its position and the seed, so it is the same for
     any number of partitions and after any retry; every task makes an equal
     share.
     """
-    if high < low:
-        raise ValueError("low must not exceed high")
     ids = spark.range(n, numPartitions=num_partitions)
-    drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(high - low + 1)) + F.lit(low)
-    return ids.select(F.col("id").alias("pos"), drawn.cast("bigint").alias("v"))
+    return ids.select(F.col("id").alias("pos"), draw_uniform("id", low, high, seed).alias("v"))
 
 
 def generate_sorted(

@@ -8,8 +8,10 @@ from runweave.operators.groups import attach_group_totals
 
 #: Columns that restore the order of lines across files and file splits.
 LINE_ORDER = ["src_file", "src_block", "src_row"]
-# Fixed value: the characters Python's str.strip() removes, ASCII part.
-WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+# White space at either end of a line, beyond ASCII too.
+MARGIN = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
+# What is left must be digits; a cast alone would forgive control characters.
+INTEGER = r"^[+-]?[0-9]+$"
 
 
 def read_numbers(
@@ -30,9 +32,11 @@ def read_numbers(
             F.monotonically_increasing_id().alias(LINE_ORDER[2]),
         ]
     kept = LINE_ORDER if line_order else []
-    text = spark.read.text(path).select(F.trim("value", F.lit(WHITESPACE)).alias("line"), *order)
+    text = spark.read.text(path).select(F.regexp_replace("value", MARGIN, "").alias("line"), *order)
     lines = text.where(F.col("line") != "").select(
-        "line", F.expr("try_cast(line AS bigint)").alias("v"), *kept
+        "line",
+        F.when(F.col("line").rlike(INTEGER), F.expr("try_cast(line AS bigint)")).alias("v"),
+        *kept,
     )
     good = F.col("v").isNotNull()
     if mode == "permissive":
@@ -68,14 +72,15 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return placed.select(pos.alias("pos"), *[c for c in lines.columns if c not in (split, row)])
 
 
-def write_numbers(df: DataFrame, path: str, col: str = "v") -> int:
+def write_numbers(df: DataFrame, path: str, col: str = "v", mode: str = "overwrite") -> int:
     """Write one value per line, in the order of ``df``'s partitions: the name
     order of the part files is the order of the values.  Returns the number of
-    lines; an empty table leaves a file with a single newline.
+    lines; an empty table leaves a file with a single newline.  What was at
+    ``path`` is replaced, unless ``mode`` (as of a DataFrame writer) says otherwise.
     """
     seen = Observation()
     lines = df.select(F.col(col).cast("string").alias("value"))
-    lines.observe(seen, F.count("*").alias("n")).write.text(path)
+    lines.observe(seen, F.count("*").alias("n")).write.mode(mode).text(path)
     n = seen.get.get("n", 0)
     if n == 0:
         df.sparkSession.createDataFrame([("",)], "value string").write.mode("append").text(path)

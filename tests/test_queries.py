@@ -7,10 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from runweave.plans import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-TABLES = ["lineitem", "orders", "supplier", "events"]
+TABLES = ["lineitem", "orders", "supplier", "events", "documents"]
 
 
 @pytest.fixture(scope="module")
@@ -27,10 +28,10 @@ def _rows(df: pd.DataFrame) -> list[tuple]:
     return sorted(none.itertuples(index=False, name=None), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    got = queries()[name](spark, SF).toPandas()
-    want = duck.execute(oracle_sql()[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     for a, b in zip(_rows(got), _rows(want)):
@@ -38,9 +39,9 @@ def test_query_equals_sql(spark, duck, name):
             assert x == y or (isinstance(x, float) and math.isclose(x, y)), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_has_rows(spark, name):
-    assert queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
