@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from runweave.llm.common import attach_by_key, bucket_of, keep_rows, slices
@@ -48,6 +48,8 @@ from runweave.storage import cut_lineage
 SLICE = 2 << 20
 # Shingles of a family in one comparison task.
 BLOCK_SHINGLES = 200_000
+# Members of a family in one part of it.
+BLOCK_MEMBERS = 256
 # A sketch has about so many bits for each difference that is allowed.
 BITS_A_DIFFERENCE = 4
 # Into so many buckets ids are hashed to tell early which texts are read again;
@@ -204,12 +206,18 @@ def _families(docs: DataFrame, percent: int, k: int) -> DataFrame:
     return cut_lineage(met.select("leader", "rid").distinct(), "families")
 
 
+def _parts(shingles: Column, members: Column) -> Column:
+    """Into how many parts a family is dealt."""
+    by_size = F.ceil(shingles / BLOCK_SHINGLES)
+    return F.greatest(by_size, F.ceil(members / BLOCK_MEMBERS)).cast("int")
+
+
 def _promising(families: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``families`` without members that by their sketch link with no other."""
     facts = classes.select("rid", "n", "sketch")
     whole = families.unionByName(families.select("leader", F.col("leader").alias("rid")).distinct())
     sized = whole.join(facts.select("rid", "n"), "rid")
-    parts = sized.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    parts = sized.groupBy("leader").agg(_parts(F.sum("n"), F.count("rid")).alias("parts"))
     dealt = attach_by_key(sized, parts, "leader", "rid")
     part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
     others = F.sequence(F.lit(0), F.col("parts") - 1)
@@ -354,8 +362,8 @@ def _among_members(compared: DataFrame, sets: DataFrame, percent: int) -> DataFr
     sized = compared.join(sets.select("rid", "n"), "rid")
     free = F.when(~F.col("linked"), F.col("n"))
     shape = sized.groupBy("leader").agg(
-        F.ceil(F.sum(free) / BLOCK_SHINGLES).cast("int").alias("row_parts"),
-        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("col_parts"),
+        _parts(F.sum(free), F.count(free)).alias("row_parts"),
+        _parts(F.sum("n"), F.count("rid")).alias("col_parts"),
         F.count("rid").alias("members"),
     )
     shape = shape.where("row_parts > 0 and members > 1").drop("members")
