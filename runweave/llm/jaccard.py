@@ -429,8 +429,9 @@ def block_links(group: list[dict], percent: int) -> list[tuple[int, int]]:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 3) -> DataFrame:
-    """Per document ``doc_id, n_shingles, component_id, sha, row_id``; the
-    component is named after its smallest ``doc_id``."""
+    """Per document ``doc_id, n_shingles, component_id, sha, row_id, root``; the
+    component is named after its smallest ``doc_id``.  ``root`` tells components
+    apart even where ids repeat."""
     sketched = cut_lineage(sketches(docs, percent, k), "sketches")
     classes = (
         sketched.where("n_shingles > 0")
@@ -452,7 +453,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 3) -> DataFrame
     named = classes.select("rid", "least").join(roots.withColumnRenamed("id", "rid"), "rid", "left")
     named = named.withColumn("root", F.coalesce("root", "rid"))
     names = named.groupBy("root").agg(F.min("least").alias("name"))
-    named = attach_by_key(named, names, "root", "rid").select(F.col("rid").alias("class_id"), F.col("name").alias("component_id"))
+    named = attach_by_key(named, names, "root", "rid").select(F.col("rid").alias("class_id"), "root", F.col("name").alias("component_id"))
     rows = sketched.select("doc_id", "row_id", "n_shingles", "class_id", "sha")
     found = attach_by_key(rows, named, "class_id", "row_id")
     return found.select(
@@ -461,6 +462,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 3) -> DataFrame
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "sha",
         "row_id",
+        "root",
     )
 
 
@@ -470,6 +472,8 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = 3) -> Data
     all stay; rows equal in id and text are one."""
     found = near_duplicates(docs, percent, k)
     lone = found.where("n_shingles = 0").select("doc_id", "sha")
-    head = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id").agg(F.min("sha").alias("sha"))
-    kept = lone.unionByName(head.withColumnRenamed("component_id", "doc_id"))
+    head = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("root").agg(
+        F.min(F.struct("sha", "doc_id")).alias("kept")
+    )
+    kept = lone.unionByName(head.select("kept.doc_id", "kept.sha"))
     return keep_rows(docs, kept, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256), "sha")

@@ -71,11 +71,27 @@ def first_map(loads: dict[Unit, int], shards: int) -> dict[Unit, int]:
     return {unit: (unit[0] + max(unit[1], 0)) % shards for unit in loads}
 
 
-def rebalance(placed: dict[Unit, int], loads: dict[Unit, int], shards: int) -> dict[Unit, int]:
-    """Edit a map until no move of a slot from the fullest shard narrows the gap.
+def add_shard(placed: dict[Unit, int], loads: dict[Unit, int], shards: int) -> dict[Unit, int]:
+    """Edit a map of ``shards`` shards so that one more takes its share of each
+    shard's slots; no slot moves but into it."""
+    placed, total = dict(placed), sum(loads.values())
+    share = total / (shards + 1)
+    held: dict[int, list[Unit]] = {s: [] for s in range(shards)}
+    for unit, shard in sorted(placed.items()):
+        held[shard].append(unit)
+    for units in held.values():
+        over = sum(loads[u] for u in units) - share
+        # The largest that fit first, so that what is left over is small.
+        for unit in sorted(units, key=lambda u: (-loads[u], u)):
+            if loads[unit] <= over:
+                over -= loads[unit]
+                placed[unit] = shards
+    return placed
 
-    Works for shards that have no slot yet, which is how a shard is added.
-    """
+
+def rebalance(placed: dict[Unit, int], loads: dict[Unit, int], shards: int) -> dict[Unit, int]:
+    """Edit a map until no move of a slot from the fullest shard to the emptiest
+    narrows the gap between them."""
     placed = dict(placed)
     held: dict[int, list[Unit]] = {s: [] for s in range(shards)}
     for unit, shard in placed.items():
