@@ -72,3 +72,13 @@ def slices(batches: Iterator[pa.RecordBatch], size_col: str, most: int) -> Itera
             held += size
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def row_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``row`` structs with their ``text`` as a column beside, not a copy."""
+    for batch in batches:
+        rows = batch.column("row")
+        at = rows.type.get_field_index("text")
+        # Not field(): a sliced struct has unsliced fields.
+        text = rows.flatten()[at]
+        yield pa.RecordBatch.from_arrays([rows, text], ["row", "text"])

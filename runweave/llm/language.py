@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from runweave.llm.common import slices
+from runweave.llm.common import row_texts, slices
 from runweave.llm.hashing import U64, mix
 
 UNKNOWN = "und"
@@ -49,7 +49,7 @@ RATE = 0.3
 DECAY = 1e-6
 LEXICON_COUNT = 3
 LEXICON_SHARE = 0.9
-SLICE = 6 << 20
+SLICE = 2 << 20
 
 
 @dataclass
@@ -274,10 +274,10 @@ def fit(docs: DataFrame, learn: Column) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (the input row), ``lang_pred`` and ``lang_score``."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(row_texts(batches), "text", SLICE):
             label, score = predict(_texts(batch), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(label, pa.string()), pa.array(score, pa.float64())],

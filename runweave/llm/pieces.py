@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from runweave.llm.common import slices
+from runweave.llm.common import row_texts, slices
 from runweave.llm.hashing import U64, mix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -48,7 +48,7 @@ N_BEST = 3
 # Words of more characters are solved one by one.
 LONG_WORD = 64
 # So many solved words a task keeps in mind.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 # So many words are solved side by side.
 WORDS_AT_ONCE = 1 << 15
 # Bits of a hash that tell early that a substring is no piece.
@@ -413,11 +413,11 @@ _ARROW_OTHERS = pa.list_(
 def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFrame:
     """``row`` (the input row), ``ids``, ``score`` and ``others``, the next best
     segmentations."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(vocabulary)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(row_texts(batches), "text", SLICE):
             found = encode_texts([t or "" for t in batch.column("text").to_pylist()], n, memory)
             ends = np.cumsum([0] + [len(ids) for ids, _, _ in found]).astype(np.int32)
             flat = np.concatenate([ids for ids, _, _ in found]).astype(np.int32)
