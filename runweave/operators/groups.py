@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from runweave.storage import cut_lineage
+
 # Group tables up to this many rows are broadcast.
 MAX_BROADCAST_GROUPS = 500_000
 # Beyond it: at most this many groups can each hold more than
@@ -19,20 +21,21 @@ def join_totals(df: DataFrame, totals: DataFrame, group: str, how: str = "inner"
 
 
 def attach_group_totals(
-    df: DataFrame, totals: DataFrame, group: str, rows: str
+    df: DataFrame, totals: DataFrame, group: str, rows: str, how: str = "inner"
 ) -> DataFrame:
     """Add the columns of ``totals`` (one row per group, ``rows`` counting the
     group's rows) to every row of ``df``.
 
     Few groups: broadcast.  Many: rows of hot groups meet a broadcast of just
     those groups and are not shuffled; all others are joined by a shuffle in
-    which no group is large.
+    which no group is large.  The totals are worked out once.
     """
+    totals = cut_lineage(totals, "totals")
     if totals.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
-        return join_totals(df, F.broadcast(totals), group)
+        return join_totals(df, F.broadcast(totals), group, how)
     n_rows = totals.agg(F.sum(rows)).first()[0]
     is_hot = F.col(rows) * HOT_GROUPS > F.lit(n_rows)
     hot = totals.where(is_hot)
     hot_rows = join_totals(df, F.broadcast(hot), group)
     other = join_totals(df, F.broadcast(hot.select(group)), group, "left_anti")
-    return hot_rows.unionByName(join_totals(other, totals.where(~is_hot), group))
+    return hot_rows.unionByName(join_totals(other, totals.where(~is_hot), group, how))

@@ -54,7 +54,8 @@ def number_lines(lines: DataFrame) -> DataFrame:
 
     A file split is read by one task in order, so a line's place is the lines
     of all earlier splits plus its own place in its split.  Only the splits are
-    counted and put in order, one row each; no line is shuffled.
+    counted and put in order, one row each; no line is shuffled.  Lines are read
+    twice; should the second reading split the files in another way, it fails.
     """
     file, block, _ = LINE_ORDER
     split, row = "__split", "__row"
@@ -67,8 +68,9 @@ def number_lines(lines: DataFrame) -> DataFrame:
     splits = lines.groupBy(split).agg(F.count("*").alias("__n"), F.min(row).alias("__first"))
     before = F.sum("__n").over(W.orderBy(split).rowsBetween(W.unboundedPreceding, -1))
     starts = splits.withColumn("__start", F.coalesce(before, F.lit(0)))
-    placed = attach_group_totals(lines, starts, split, "__n")
-    pos = F.col("__start") + F.col(row) - F.col("__first")
+    placed = attach_group_totals(lines, starts, split, "__n", how="left")
+    moved = F.raise_error(F.lit("file splits changed between two readings")).cast("bigint")
+    pos = F.coalesce("__start", moved) + F.col(row) - F.col("__first")
     return placed.select(pos.alias("pos"), *[c for c in lines.columns if c not in (split, row)])
 
 

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Paths handed out and not yet released.
+_handed_out: list[str] = []
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -24,7 +26,9 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         base = tempfile.mkdtemp(prefix="runweave-")
         spark.conf.set(CHECKPOINT_CONF, base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
@@ -32,3 +36,17 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far and return how many there were.
+
+    For callers who have written or collected their results: DataFrames that were
+    returned before can no longer be read afterwards.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _handed_out:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

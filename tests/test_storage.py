@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from runweave.storage import CHECKPOINT_CONF, cut_lineage, shared_path
+from runweave.storage import CHECKPOINT_CONF, cut_lineage, release, shared_path
 
 
 class Conf(dict):
@@ -41,3 +41,12 @@ def test_local_mode_makes_one_folder(tmp_path, monkeypatch):
 def test_cut_rows_are_fixed(spark):
     cut = cut_lineage(spark.range(100).select(F.rand().alias("x")), "random")
     assert cut.collect() == cut.collect()
+
+
+def test_released_tables_are_gone(spark, monkeypatch):
+    monkeypatch.setattr("runweave.storage._handed_out", [])
+    cut = cut_lineage(spark.range(10), "kept")
+    path = cut.inputFiles()[0]
+    assert cut.count() == 10 and release(spark) == 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
