@@ -411,14 +411,17 @@ _ARROW_OTHERS = pa.list_(
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFrame:
-    """``row`` (the input row), ``ids``, ``score`` and ``others``, the next best
-    segmentations."""
+    """``row`` (the input row), ``ids``, ``score``, ``others``, the next best
+    segmentations, and ``round_trip``: whether the ids decode to the text."""
+    spelled = np.array(vocabulary.spelled, dtype=object)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(vocabulary)
         for batch in slices(row_texts(batches), "text", SLICE):
-            found = encode_texts([t or "" for t in batch.column("text").to_pylist()], n, memory)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            found = encode_texts(texts, n, memory)
+            same = [_joined(spelled[ids].tolist()) == t for (ids, _, _), t in zip(found, texts)]
             ends = np.cumsum([0] + [len(ids) for ids, _, _ in found]).astype(np.int32)
             flat = np.concatenate([ids for ids, _, _ in found]).astype(np.int32)
             others = [
@@ -431,8 +434,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     pa.array([s for _, s, _ in found], pa.float64()),
                     pa.array(others, _ARROW_OTHERS),
+                    pa.array(same, pa.bool_()),
                 ],
-                ["row", "ids", "score", "others"],
+                ["row", "ids", "score", "others", "round_trip"],
             )
 
     schema = T.StructType(
@@ -441,6 +445,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = N_BEST) -> DataFram
             T.StructField("ids", T.ArrayType(T.IntegerType())),
             T.StructField("score", T.DoubleType()),
             T.StructField("others", T.ArrayType(OTHER)),
+            T.StructField("round_trip", T.BooleanType()),
         ]
     )
     return rows.mapInArrow(run, schema)
