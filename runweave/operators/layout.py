@@ -206,33 +206,50 @@ def _spread(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(PART, START)
 
 
-def _sorted_parts(layout: Layout, rows: DataFrame, n_parts: int, ties: bool = False) -> DataFrame:
+def _sorted_parts(
+    layout: Layout, rows: DataFrame, n_parts: int, part: str = PART, ties: bool = False
+) -> DataFrame:
     """Rows in their tasks and in order there; a task holds one part, so it
     need not sort by part.  ``ties`` also puts rows with equal keys in an order
     that is the same every time."""
-    parts = rows.repartitionById(n_parts, PART)
+    parts = rows.repartitionById(n_parts, part)
     if ties and layout.rest:
         return parts.sortWithinPartitions(*layout.keys, row_hash(parts, layout.rest))
     return parts.sortWithinPartitions(*layout.keys)
 
 
-def ordered_rows(layout: Layout) -> DataFrame:
-    """All rows, partition by partition in ascending order."""
+def ordered_rows(layout: Layout, n_parts: int | None = None) -> DataFrame:
+    """All rows, partition by partition in ascending order.  With ``n_parts``
+    neighbouring parts share a task, so that there are that many tasks, each with
+    the parts that begin in its equal share of the positions."""
     slots = _slots(layout)
+    task, n_tasks = None, slots.n_parts
+    if n_parts is not None:
+        shares = [at * n_parts // max(1, layout.n_rows) for at in slots.start_of_part]
+        task, n_tasks = F.get(literal_array(shares, "int"), F.col(PART)), n_parts
     if layout.collapsible:
         rows = _collapsed(layout, slots)
         if slots.hot is not None:
             rows = rows.unionByName(_hot_blocks(slots).drop(START))
-        rows = _expand(_sorted_parts(layout, rows, slots.n_parts))
     else:
         rows = _cold(layout, slots)
         if slots.hot is not None:
             hot = _expand(_spread(_hot_blocks(slots)))
             rows = rows.select(PART, *layout.columns).unionByName(hot)
-        rows = _sorted_parts(layout, rows, slots.n_parts)
+    if task is not None:
+        rows = rows.withColumn(PART, task)
+    rows = _sorted_parts(layout, rows, n_tasks)
+    if layout.collapsible:
+        rows = _expand(rows)
     return rows.select(*layout.columns)
 
 
+def ranged_rows(layout: Layout, n_parts: int) -> DataFrame:
+    """All rows in ascending order by the sampled ranges alone, without counts:
+    for keys of which none is crowded."""
+    return _sorted_parts(layout, layout.ranged, n_parts, RANGE).select(*layout.columns)
+
+
 def numbered_rows(layout: Layout, position: str = "pos") -> DataFrame:
     """All rows with their 0-based position in ascending order.
 

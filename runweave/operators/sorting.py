@@ -11,16 +11,21 @@ from runweave.operators.groups import attach_group_totals
 from runweave.operators.layout import (
     PLACE,
     PLACE_BITS,
+    Layout,
     numbered_rows,
     ordered_rows,
     place_to_position,
     plan_layout,
+    ranged_rows,
 )
-from runweave.operators.ranges import assign_range, literal_array, sample_ranges
+from runweave.operators.ranges import assign_range, literal_array
 from runweave.storage import cut_lineage
 
 # Folder column of a directory of runs.
 RUN_ID = "run_id"
+# Types (and decimals) whose text form is read back as the same value; keys of any
+# other are left to Spark's own ranges.
+PLACEABLE = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz", "string"}
 
 
 def _names(keys: str | list[str]) -> list[str]:
@@ -32,17 +37,23 @@ def global_sort(
 ) -> DataFrame:
     """``df`` in ascending order of ``keys``, spread over its partitions.
 
-    A bounded sample decides how: Spark's own range sort where no key stands
-    out; the counted layout where a key is hot (its rows would meet in one
-    task) or where rows are bare keys that repeat (counting replaces sorting).
+    A bounded sample places the ranges and decides how they are filled: directly
+    where no key stands out; by counts where a key is hot (its rows would meet in
+    one task) or where rows are bare keys that repeat (counting replaces sorting).
     Reads ``df`` again for the sort, so its rows must not change in between.
-    ``num_partitions`` is a hint: a hot key spans the partitions it needs, and few
-    distinct keys fill fewer.
+    A result that has rows has ``num_partitions`` partitions if that is given; where
+    distinct keys are few, some are empty.
     """
     keys = _names(keys)
-    layout = plan_layout(df, keys, num_partitions)
+    return _sorted_by(plan_layout(df, keys, num_partitions), num_partitions)
+
+
+def _sorted_by(layout: Layout, num_partitions: int | None) -> DataFrame:
     if layout.crowded or layout.collapsible:
-        return ordered_rows(layout)
+        return ordered_rows(layout, num_partitions)
+    df, keys = layout.source, layout.keys
+    if all(dict(df.dtypes)[k] in PLACEABLE or dict(df.dtypes)[k].startswith("decimal") for k in keys):
+        return ranged_rows(layout, num_partitions or layout.n_ranges)
     if num_partitions is None:
         return df.orderBy(*keys)
     return df.repartitionByRange(num_partitions, *keys).sortWithinPartitions(*keys)
@@ -156,8 +167,10 @@ def range_merge(
             spark = SparkSession.getActiveSession()
             return spark.createDataFrame([], f"{key} bigint, bucket int")
         ordered = df if len(present) == 1 else None
+    # One sample serves the sort and the labels.
+    layout = plan_layout(df, [key], p) if pivots is None or ordered is None else None
     if pivots is None:
-        drawn = sample_ranges(df, [key], df.count(), p).drawn
+        drawn = layout.ranges.drawn
         typed = literal_array([t[0] for t in drawn], dict(df.dtypes)[key])
         pivots = df.sparkSession.range(1).select(typed.alias("a")).first()["a"] if drawn else []
-    return assign_range(global_sort(df, key, p) if ordered is None else ordered, key, pivots)
+    return assign_range(_sorted_by(layout, p) if ordered is None else ordered, key, pivots)

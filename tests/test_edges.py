@@ -116,13 +116,49 @@ def test_long_keys_are_sorted(spark):
     assert check_order(global_sort(keys, "k"), "k").first().is_sorted
 
 
-def test_num_partitions_is_a_hint(spark):
+def test_num_partitions_is_kept(spark):
+    """Where no key stands out, where one is hot, where few values repeat, and
+    where rows of a hot key are told apart by other columns."""
     plain = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("v"))
     hot = plain.select(F.when(F.col("v") % 3 == 0, 5).otherwise(F.col("v")).alias("v"))
     few = plain.select((F.col("v") % 9).alias("v"))
-    for rows in (plain, hot, few):
-        assert check_order(global_sort(rows, "v", 8), "v").first().is_sorted
-    assert global_sort(plain, "v", 8).rdd.getNumPartitions() == 8
+    wide = hot.withColumn("id", F.monotonically_increasing_id())
+    for rows in (plain, hot, few, wide):
+        out = global_sort(rows, "v", 8)
+        assert out.rdd.getNumPartitions() == 8
+        assert check_order(out, "v").first().is_sorted
+        assert check_conserved(rows, out).first().content_ok
+    for rows in (plain, hot, wide):
+        sizes = global_sort(rows, "v", 8).groupBy(F.spark_partition_id()).count()
+        assert sizes.agg(F.max("count")).first()[0] <= 2.2 * 40_000 / 8
+
+
+def test_sort_reads_its_input_once_more(spark):
+    """The sampled ranges are used as they are: one exchange of the rows, by
+    their range, and no sampling by the sort itself."""
+    plain = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("v"))
+    plan = global_sort(plain, "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("shufflepartitionidpassthrough") == 1
+    assert "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("dtype", ["double", "date", "timestamp", "decimal(20,4)", "string", "boolean", "binary"])
+def test_keys_of_any_type_sort(spark, dtype):
+    number = F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 40_009)
+    made = {
+        "double": number / 7,
+        "date": F.date_add(F.lit("1990-01-01").cast("date"), number.cast("int")),
+        "timestamp": F.timestamp_micros(number * 1_000_003),
+        "boolean": number % 2 == 0,
+        "binary": F.unhex(F.lpad(F.hex(number + 0xFF0000), 8, "0")),
+    }.get(dtype, number.cast(dtype))
+    rows = spark.range(30_000).select(made.alias("k"), "id")
+    out = global_sort(rows, "k", 5)
+    assert out.rdd.getNumPartitions() == 5
+    assert check_conserved(rows, out).first().content_ok
+    keys = [r.k for r in out.select("k").collect()]
+    known = [k for k in keys if k is not None]
+    assert keys[: len(keys) - len(known)] == [None] * (len(keys) - len(known)) and known == sorted(known)
 
 
 def test_runs_with_a_hot_pair(spark):
