@@ -118,6 +118,35 @@ def test_blocks(page, want):
     assert page_blocks(page) == want
 
 
+ART = "<article><p>text</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<div class='no-sidebar'>{ART}</div>", [(3, "text")]),
+        (f"<div id='content-with-sidebar'>{ART}<div class='left-sidebar'>s</div></div>", [(3, "text"), (0, "s")]),
+        (f"<body><div class='modal-ready'><p>free</p></div>{ART}", [(1, "free"), (3, "text")]),
+        (f"<form id='f'><input><div>menu</div>{ART}</form>", [(1, "menu"), (3, "text")]),
+        ("<form><nav>m</nav><div>free</div><footer>f</footer></form>", [(0, "m"), (1, "free"), (0, "f")]),
+        (f"<div class='modal'>{ART}</div>", [(3, "text")]),
+        (f"<div class='modal'><main>a</main></div><div id='nav'><div itemprop='articleBody'>b</div></div>", [(2, "a"), (3, "b")]),
+        (f"<article>whole</article><div class='related'>{ART}</div>", [(3, "whole"), (0, "text")]),
+        (f"<p>free text of it</p><div class='related-posts'>{ART}</div>", [(1, "free text of it"), (0, "text")]),
+        (f"<div id='comments'>{ART}</div>", [(0, "text")]),
+        ("<article><section id='social'>a</section><div class='related-work'>b</div><div class='site-footer'>c</div>", [(3, "a"), (3, "b"), (0, "c")]),
+        ("<div>a<select><option>o</div><p>b</p><select><option>o</select>c", [(1, "a"), (1, "b"), (1, "c")]),
+        ("<p>a<svg><path/><text>t</text></p><p>b</p><svg><g></g></svg>c", [(1, "a"), (1, "b"), (1, "c")]),
+        ("<p>a</p><canvas><p>b</p>c", [(1, "a"), (1, "b"), (1, "c")]),
+        ("<p>a</p><noscript><div>n</div></noscript><template><p>t</p></template><object><p>o</p></object>b", [(1, "a"), (1, "b")]),
+        ("<head><meta charset='x'><title>t</title><p>b</p>", [(1, "b")]),
+        ("<div>a<svg><svg></svg><style>p{}</p></style></svg>b", [(1, "a b")]),
+    ],
+)
+def test_no_article_is_lost(page, want):
+    assert page_blocks(page) == want
+
+
 def test_suffix_array_orders_by_tokens():
     rng = random.Random(1)
     tokens = [rng.randrange(1, 4) for _ in range(300)]
