@@ -183,3 +183,15 @@ def test_boilerplate_of_a_host_goes_unique_runs_stay(spark, monkeypatch, chunk):
     assert all(got[i] == f"story{i} has words{i} of{i} its{i} own{i} here{i}" for i in range(12))
     assert all(got[50 + i] == "one text that is on three pages of a host with the same words" for i in range(3))
     assert (got[60], got[61], got[62]) == ("", "alone", "kept")
+
+
+def test_text_around_articles_stays(spark):
+    pages = [
+        "<main><div>the text</div><article>card</article><article>other</article></main>",
+        "<main><h1>title</h1><p>lead</p><article>story<nav>m</nav></article></main>",
+        "<div>free text</div><article>card</article><p>end",
+        "<main>short</main><div>free text</div>",
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got == {0: "the text\ncard\nother", 1: "title\nlead\nstory", 2: "free text\ncard\nend", 3: "short\nfree text"}
