@@ -195,3 +195,16 @@ def test_text_around_articles_stays(spark):
     df = spark.createDataFrame([(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
     assert got == {0: "the text\ncard\nother", 1: "title\nlead\nstory", 2: "free text\ncard\nend", 3: "short\nfree text"}
+
+
+def test_copies_are_dealt_once_and_only_where_a_page_waits(spark):
+    menu = "<nav>one menu of the host with eight words</nav>"
+    pages = [(i, "http://copy.example/", f"{menu}<article>story {i}</article>") for i in range(40)]
+    pages += [(100 + i, "http://free.example/", f"{menu}<article>story {i}</article>") for i in range(40)]
+    pages += [(200 + i, "http://free.example/", "<p>words of a page that has copies here</p>") for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = html_text._cut_pages(df).localCheckpoint()
+    streams = html_text._streams(rows).collect()
+    assert sorted((r.host, r.waits) for r in streams) == [("free.example", False), ("free.example", True)]
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert all(got[200 + i] == "words of a page that has copies here" for i in range(30)) and len(got) == 110
