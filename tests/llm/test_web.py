@@ -208,3 +208,28 @@ def test_copies_are_dealt_once_and_only_where_a_page_waits(spark):
     assert sorted((r.host, r.waits) for r in streams) == [("free.example", False), ("free.example", True)]
     got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
     assert all(got[200 + i] == "words of a page that has copies here" for i in range(30)) and len(got) == 110
+
+
+@pytest.mark.parametrize("chunk", [200_000, 60])
+def test_shared_sentences_in_free_text_stay(spark, monkeypatch, chunk):
+    monkeypatch.setattr(html_text, "CHUNK_TOKENS", chunk)
+    said = "a quotation of more than six words that many pages have in common"
+    long = " ".join(f"licence{i}" for i in range(35))
+    own = [f"page{i} tells {said} and goes on{i}" for i in range(20)]
+    pages = [(i, "http://h.example/", f"<nav>one two three four five six seven</nav><p>{t}</p>") for i, t in enumerate(own)]
+    pages = [(i, u, h + (f"<p>intro{i} {long} outro{i}</p>" if i < 12 else "") + (f"<p>{said}</p>" if i < 6 else "")) for i, u, h in pages]
+    pages = [(i, u, h + ("<div>Home</div><div>About us</div><div>Our three offices</div>" if i > 3 else "")) for i, u, h in pages]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_text.main_text(df).collect()}
+    for i in range(20):
+        # Six of twenty pages are too few for a block; the passage on twelve goes.
+        want = [own[i]] + ([f"intro{i} outro{i}"] if i < 12 else []) + ([said] if i < 6 else [])
+        assert got[i] == want
+    # Four near-copies are no boilerplate of each other.
+    few = spark.createDataFrame([(i, "http://f.example/", f"<p>{long}</p><p>{i}</p>") for i in range(4)], df.schema)
+    assert {r.text for r in html_text.main_text(few).collect()} == {f"{long}\n{i}" for i in range(4)}
+
+
+def test_sequences_of_whole_blocks():
+    got = html_text.block_sequences([["a"] * 3, ["b"], ["c"] * 3, ["d"] * 7])
+    assert got == {(0, 7, "a a a\nb\nc c c"), (3, 11, "b\nc c c\nd d d d d d d"), (4, 10, "c c c\nd d d d d d d"), (7, 7, "d d d d d d d")}
