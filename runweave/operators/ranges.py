@@ -7,6 +7,7 @@ to a pivot goes right and repeated pivots leave empty ranges behind.
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass
 from datetime import datetime
 from math import ceil
@@ -24,6 +25,8 @@ SAMPLE_SEED = 7
 SAMPLE_BYTES = 64 << 20
 # A cut need not be a whole key: of a long text its beginning will do.
 CUT_CHARS = 1_000
+# Characters that all cuts together may keep beyond that to be told apart.
+CUT_BUDGET = 1 << 20
 # Keys drawn exactly twice that make the estimate of all keys worth using.
 MIN_PAIRS = 10
 # Rows per key from which counting keys beats sorting rows.
@@ -158,16 +161,27 @@ def sample_ranges(df: DataFrame, cols: list[str], n_rows: int, p: int) -> Sample
 
 
 def _shortened(drawn: list[tuple]) -> list[tuple]:
-    """Cuts with long texts cut off, still in order.  Those drawn more than once
-    are hot keys and stay whole."""
-    out: list[tuple] = []
+    """Cuts with long texts cut off, still in order.  A text that shares its first
+    characters with the one before keeps as many as tell the two apart; where all
+    that is more than ``CUT_BUDGET``, evenly spaced ones of these do.  Those drawn
+    more than once are hot keys and stay whole."""
+    ends: list[int | None] = []
     for i, t in enumerate(drawn):
         hot = t in drawn[max(0, i - 1) : i] or t in drawn[i + 1 : i + 2]
-        if not hot and t[0] is not None and len(t[0]) > CUT_CHARS:
-            t = (t[0][:CUT_CHARS], *t[1:])
-            if out and out[-1][0] is not None and t[0] <= out[-1][0]:
+        if hot or t[0] is None or len(t[0]) <= CUT_CHARS:
+            ends.append(None)
+            continue
+        before = drawn[i - 1][0] if i and drawn[i - 1][0] is not None else ""
+        ends.append(max(CUT_CHARS, len(os.path.commonprefix([before, t[0]])) + 1))
+    every = -(-sum(n for n in ends if n and n > CUT_CHARS) // CUT_BUDGET)
+    out: list[tuple] = []
+    longer = 0
+    for t, n in zip(drawn, ends):
+        if n and n > CUT_CHARS:
+            longer += 1
+            if longer % every:
                 continue
-        out.append(t)
+        out.append(t if n is None else (t[0][:n], *t[1:]))
     return out
 
 

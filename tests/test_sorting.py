@@ -272,3 +272,17 @@ def test_timestamps_when_clocks_go_back(spark):
         assert check_order(ordered_rows(plan_layout(values.union(values), ["v"], 40)), "v").first()[1] == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_cuts_that_begin_alike_still_split():
+    from runweave.operators import ranges
+
+    head = "h" * 3_000
+    drawn = [("a",), *[(f"{head}{i:02d}" + "x" * 500,) for i in range(20)], ("z" * 5_000,)]
+    cuts = ranges._shortened(drawn)
+    assert len(cuts) == len(drawn) and cuts == sorted(set(cuts))
+    assert all(before < cut <= t for before, cut, t in zip(drawn, cuts[1:], drawn[1:]))
+    assert cuts[-1] == ("z" * ranges.CUT_CHARS,)
+    long = [("h" * 300_000 + f"{i:02d}",) for i in range(20)]
+    cuts = ranges._shortened(long)
+    assert cuts == sorted(set(cuts)) and 3 <= len(cuts) < 20
