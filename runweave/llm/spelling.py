@@ -1,18 +1,22 @@
 """Spelling variants: words one edit apart, found by k-d trees of letter counts.
 
-A word is a vector of letter counts: of the whole word and, so that anagrams part
-too, of its first ``HEADS`` characters.  One edit changes a count of letters by
-one up, one down, or both: an L1 distance of two at most in each block.  Words of
-the same length differ by one up and one down, a word and one that is a letter
-longer by one up alone.  So per pair of lengths the words near a word lie in a
-small box around its vector.
-
-A k-d tree per length, built from a bounded sample of words, cuts the space into
-cells.  Every word goes to its own cell, and as a query to those cells of its
-own length and of the next that its box reaches.  A task builds a k-d tree of a
-cell's words, prunes by boxes in the same way, and verifies the order of letters
-of what is left.  The sample only places cuts.  A cell that holds more words
-than ``PART_WORDS`` is dealt into parts, and its queries go to each of them.
+Words of one length are vectors of letter counts, taken apart by place so that
+anagrams lie apart too.  One edit moves such a vector by an L1 distance of two
+at most, and only in some of its blocks:
+
+* A letter replaced: the counts of each third of the word; one third has one
+  letter less and one more, the other two are equal.
+* A letter inserted: the counts of the whole word, of its head and of its tail;
+  the whole has one letter more, and the head or the tail is equal.
+
+So per pair of lengths the words near a word lie in small boxes around its vector.
+There is a k-d tree for each kind of edit and length.  Built from a bounded sample
+of words, it cuts the space into cells.  Every word goes to its own cell, and as
+a query to the cells of its own length and of the next that one edit may reach.
+A task builds a k-d tree of a cell's words, prunes by boxes in the same way, and
+verifies the order of letters of what is left.  The sample only places cuts.  A
+cell that holds more words than ``PART_WORDS`` is dealt into parts, and its
+queries go to each of them.
 
 A word's form is its most frequent near word, if at least twice as frequent; its
 root is where following forms ends.  Frequencies double at each step, so a chain
@@ -41,24 +45,35 @@ LETTERS = "a-zÀ-ÿ"
 # About so many words place the cells; so many should share a cell.
 SAMPLE_WORDS = 40_000
 CELL_WORDS = 4_000
+# Words of more characters are not in the sample.
+SAMPLED_LENGTH = 64
 # The least part of a node's words that a cut must leave on either side.
 LEAST_SHARE = 0.05
 # Words of a cell that one task holds at a time.
 PART_WORDS = 50_000
 # Words of a leaf of a task's own tree.
-LEAF_WORDS = 24
-# Characters compared at once.
-COMPARED = 1 << 22
+LEAF_WORDS = 48
+# Pairs of words compared at once.
+COMPARED = 1 << 18
 # Words turned into vectors at once.
-WORDS_AT_ONCE = 4_000
-HEADS = (4, 8)
+WORDS_AT_ONCE = 8_000
 BLOCK = 90
-BLOCKS = 1 + len(HEADS)
 # Greatest count kept of a letter; a smaller difference prunes less, never more.
 MOST = 30_000
-ROUTED = "cell long, kind int, word string, n long"
+ROUTED = "cell long, asks boolean, word string, n long"
 NEAR = "word string, near string, near_n long"
-SAME, SHORTER = 1, 2
+REPLACED, INSERTED = 0, 1
+# Letters more and less that one edit may bring to each block: one line for every
+# place where the edit may be.
+BUDGETS = {
+    REPLACED: np.array([[(1, 1), (0, 0), (0, 0)], [(0, 0), (1, 1), (0, 0)], [(0, 0), (0, 0), (1, 1)]]),
+    INSERTED: np.array([[(1, 0), (0, 0), (1, 1)], [(1, 0), (1, 1), (0, 0)]]),
+}
+BLOCKS = 3
+# Fixed value: an odd factor for numbering blocks of letters.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+# Cells are numbered by edit, by the length of their words, and by leaf.
+LEAVES = 1 << 20
 
 _index = np.zeros(256, np.int64)
 _index[ord("a") : ord("z") + 1] = np.arange(26)
@@ -93,19 +108,28 @@ def vocabulary(docs: DataFrame, modulus: int, least_length: int, least_n: int) -
 # --------------------------------------------------------------------- trees
 
 
-def vectors(words: list[bytes]) -> np.ndarray:
-    """Letter counts of words in Latin-1: whole words, then their heads."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = _index[np.frombuffer(b"".join(words), np.uint8)]
-    owner = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    width = BLOCK * BLOCKS
-    spots = [owner * width + flat]
-    for i, head in enumerate(HEADS, 1):
-        inside = place < head
-        spots.append((owner * width + i * BLOCK + flat)[inside])
-    counts = np.bincount(np.concatenate(spots), minlength=len(words) * width)
-    return np.minimum(counts, MOST).astype(np.int16).reshape(len(words), width)
+def letters(words: list[bytes]) -> np.ndarray:
+    """Words of one length in Latin-1, a row each."""
+    return np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+
+
+def spans(size: int, edit: int, goal: int) -> list[tuple[int, int]]:
+    """The places of each block in a word of ``size`` letters that is compared with
+    words of ``goal`` letters (as many, or for ``INSERTED`` one more)."""
+    if edit == REPLACED:
+        return [(size * i // BLOCKS, size * (i + 1) // BLOCKS) for i in range(BLOCKS)]
+    head = goal // 2
+    tail = goal - 1 - head
+    return [(0, size), (0, head), (size - tail, size)]
+
+
+def vectors(codes: np.ndarray, edit: int, goal: int) -> np.ndarray:
+    """Letter counts of words by block."""
+    count, size = codes.shape
+    rows = np.arange(count)[:, None] * (BLOCK * BLOCKS) + _index[codes]
+    spots = np.concatenate([(rows[:, low:high] + i * BLOCK).ravel() for i, (low, high) in enumerate(spans(size, edit, goal))])
+    counts = np.bincount(spots, minlength=count * BLOCK * BLOCKS)
+    return np.minimum(counts, MOST).astype(np.int16).reshape(count, -1)
 
 
 @dataclass
@@ -182,23 +206,24 @@ class Tree:
                 todo += [(i, some) for i, some in ((node.left, own[goes]), (node.right, own[~goes])) if len(some)]
         return out
 
-    def reached(self, points: np.ndarray, longer: bool) -> Iterator[tuple[Node, np.ndarray]]:
-        """Leaves whose box one edit of some points may reach, and those points;
-        ``longer``: the edit inserts a letter, else it replaces one."""
+    def reached(self, points: np.ndarray, edit: int) -> Iterator[tuple[Node, np.ndarray]]:
+        """Leaves whose box one edit of some points may reach, and those points."""
+        budgets = BUDGETS[edit]
         todo = [(0, np.arange(len(points)))]
         while todo:
             at, own = todo.pop()
             node = self.nodes[at]
             if len(node.dims):
-                here = points[own][:, node.dims].astype(np.int64)
+                here = points[own[:, None], node.dims]
                 up, down = np.maximum(node.low - here, 0), np.maximum(here - node.high, 0)
-                near = np.ones(len(own), bool)
+                near = np.ones((len(budgets), len(own)), bool)
                 for block in range(BLOCKS):
-                    mine = node.dims // BLOCK == block
-                    if mine.any():
-                        near &= up[:, mine].sum(1) <= 1
-                        near &= down[:, mine].sum(1) <= (0 if longer and block == 0 else 1)
-                own = own[near]
+                    mine = np.flatnonzero(node.dims // BLOCK == block)
+                    if len(mine):
+                        more, less = up[:, mine].sum(1), down[:, mine].sum(1)
+                        near &= more <= budgets[:, block, :1]
+                        near &= less <= budgets[:, block, 1:]
+                own = own[near.any(0)]
             if not len(own):
                 continue
             if node.leaf >= 0:
@@ -207,59 +232,61 @@ class Tree:
                 todo += [(node.left, own), (node.right, own)]
 
 
-def cells(words: DataFrame) -> dict[int, Tree]:
-    """A tree per length from a sample of ``words``, bounded by ``SAMPLE_WORDS``."""
+Trees = dict[tuple[int, int], Tree]
+
+
+def cells(words: DataFrame) -> Trees:
+    """A tree per edit and length from a sample of ``words`` bounded by ``SAMPLE_WORDS``."""
     every = -(-words.count() // SAMPLE_WORDS) or 1
-    # A head is enough to place cuts, so the sample is small in bytes too.
-    sample = words.where(F.pmod(F.xxhash64("word"), F.lit(every)) == 0).select(
-        F.length("word").alias("size"), F.substring("word", 1, 64).alias("word")
-    )
     by_size: dict[int, list[bytes]] = {}
-    for row in sample.collect():
-        by_size.setdefault(row["size"], []).append(row["word"].encode("latin-1"))
+    # Longer words share the cell of their length; so the sample is small in bytes too.
+    sample = words.where((F.pmod(F.xxhash64("word"), F.lit(every)) == 0) & (F.length("word") <= SAMPLED_LENGTH))
+    for row in sample.select("word").collect():
+        by_size.setdefault(len(row["word"]), []).append(row["word"].encode("latin-1"))
     leaf = max(CELL_WORDS // every, 16)
-    return {size: Tree(vectors(some), leaf, LEAST_SHARE) for size, some in by_size.items()}
-
+    return {
+        (edit, size): Tree(vectors(letters(some), edit, size), leaf, LEAST_SHARE)
+        for size, some in by_size.items()
+        for edit in (REPLACED, INSERTED)
+    }
 
-#: Cells are numbered by the length of their words, and by leaf within it.
-CELLS_PER_LENGTH = 1 << 20
 
-
-def _route(trees: dict[int, Tree]):
+def _route(trees: Trees):
     whole = Tree(np.zeros((0, BLOCK * BLOCKS), np.int16), 1)
 
+    def places(codes: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+        """Whether words ask, their cells, and which words."""
+        size = codes.shape[1]
+        every = np.arange(len(codes))
+        for edit, goal in ((REPLACED, size), (INSERTED, size), (INSERTED, size + 1)):
+            tree = trees.get((edit, goal), whole)
+            points = vectors(codes, edit, goal)
+            first = (goal * 2 + edit) * LEAVES
+            if goal == size:
+                yield False, first + tree.leaf_of(points), every
+            if (edit == INSERTED) == (goal > size):
+                for node, some in tree.reached(points, edit):
+                    yield True, np.full(len(some), first + node.leaf), some
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, WORDS_AT_ONCE):
                 part = batch.slice(low, WORDS_AT_ONCE)
                 words = [w.encode("latin-1") for w in part.column("word").to_pylist()]
                 sizes = np.array([len(w) for w in words])
-                points = vectors(words)
-                cell, kind, row = [], [], []
                 for size in np.unique(sizes).tolist():
                     own = np.flatnonzero(sizes == size)
-                    for k, goal in ((0, size), (SAME, size), (SHORTER, size + 1)):
-                        tree = trees.get(goal, whole)
-                        if k == 0:
-                            leaves = [(tree.leaf_of(points[own]), own)]
-                        else:
-                            leaves = [
-                                (np.full(len(some), node.leaf), own[some]) for node, some in tree.reached(points[own], k == SHORTER)
-                            ]
-                        for leaf, some in leaves:
-                            cell.append(goal * CELLS_PER_LENGTH + leaf)
-                            kind.append(np.full(len(some), k))
-                            row.append(some)
-                at = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(cell).astype(np.int64)),
-                        pa.array(np.concatenate(kind).astype(np.int32)),
-                        part.column("word").take(at),
-                        part.column("n").take(at),
-                    ],
-                    ["cell", "kind", "word", "n"],
-                )
+                    for asks, cell, some in places(letters([words[i] for i in own.tolist()])):
+                        at = pa.array(own[some])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(cell.astype(np.int64)),
+                                pa.array(np.full(len(some), asks)),
+                                part.column("word").take(at),
+                                part.column("n").take(at),
+                            ],
+                            ["cell", "asks", "word", "n"],
+                        )
 
     return run
 
@@ -267,6 +294,15 @@ def _route(trees: dict[int, Tree]):
 # -------------------------------------------------------------------- search
 
 
+def ordered(codes: np.ndarray, edit: int, goal: int) -> np.ndarray:
+    """A number per block for its letters in their order, equal where they are."""
+    keys = np.zeros((len(codes), BLOCKS), np.uint64)
+    for i, (low, high) in enumerate(spans(codes.shape[1], edit, goal)):
+        for at in range(low, high):
+            keys[:, i] = keys[:, i] * FACTOR + codes[:, at]
+    return keys
+
+
 def one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which rows of ``a`` (last axis: characters) differ from ``b`` in one place."""
     return np.count_nonzero(a != b, axis=-1) == 1
@@ -285,24 +321,33 @@ def one_inserted(short: np.ndarray, long: np.ndarray) -> np.ndarray:
 class Cell:
     """Words of one length and their tree."""
 
-    def __init__(self, words: list[bytes], counts: list[int]) -> None:
-        self.words, self.counts = words, counts
-        self.codes = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
-        self.tree = Tree(vectors(words), LEAF_WORDS)
+    def __init__(self, words: list[bytes], edit: int) -> None:
+        self.edit = edit
+        self.codes = letters(words)
+        self.goal = self.codes.shape[1]
+        self.keys = ordered(self.codes, edit, self.goal)
+        self.tree = Tree(vectors(self.codes, edit, self.goal), LEAF_WORDS)
 
-    def near(self, queries: list[bytes], longer: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def near(self, queries: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of queries and of words of the cell that are one edit apart."""
-        codes = np.frombuffer(b"".join(queries), np.uint8).reshape(len(queries), -1)
-        at_once = max(COMPARED // (LEAF_WORDS * codes.shape[1]), 1)
-        for node, some in self.tree.reached(vectors(queries), longer):
-            for first in range(0, len(node.points), LEAF_WORDS):
-                points = node.points[first : first + LEAF_WORDS]
-                for low in range(0, len(some), at_once):
-                    own = some[low : low + at_once]
-                    a, b = codes[own][:, None], self.codes[points][None]
-                    q, p = np.nonzero(one_inserted(a, b) if longer else one_replaced(a, b))
-                    if len(q):
-                        yield own[q], points[p]
+        codes = letters(queries)
+        keys = ordered(codes, self.edit, self.goal)
+        verified = one_replaced if self.edit == REPLACED else one_inserted
+        for node, some in self.tree.reached(vectors(codes, self.edit, self.goal), self.edit):
+            points = node.points
+            at_once = max(COMPARED // len(points), 1)
+            for low in range(0, len(some), at_once):
+                own = some[low : low + at_once]
+                # All blocks but the one with the edit have the same letters in order.
+                same = keys[own][:, None] == self.keys[points][None]
+                if self.edit == REPLACED:
+                    q, p = np.nonzero(same[..., 0] & same[..., 1] | same[..., 0] & same[..., 2] | same[..., 1] & same[..., 2])
+                else:
+                    q, p = np.nonzero(same[..., 1] | same[..., 2])
+                q, p = own[q], points[p]
+                fits = verified(codes[q], self.codes[p])
+                if fits.any():
+                    yield q[fits], p[fits]
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,47 +356,48 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        place = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "kind")], axis=1)
+        place = np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in ("cell", "part", "asks")], axis=1)
         cuts = np.flatnonzero(np.any(place[1:] != place[:-1], axis=1)) + 1
         for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            kind = int(place[low, 2])
-            if key != tuple(place[low, :2]):
-                key, cell, words, counts = tuple(place[low, :2]), None, [], []
+            if key != tuple(place[low, :2].tolist()):
+                key, cell, words, counts = tuple(place[low, :2].tolist()), None, [], []
             part = batch.slice(low, high - low)
             some = [w.encode("latin-1") for w in part.column("word").to_pylist()]
             n = part.column("n").to_pylist()
-            if kind == 0:
+            if not place[low, 2]:
                 words += some
                 counts += n
                 continue
             if not words:
                 continue
-            cell = cell or Cell(words, counts)
+            edit = key[0] // LEAVES % 2
+            cell = cell or Cell(words, edit)
             for first in range(0, len(some), WORDS_AT_ONCE):
-                asked = some[first : first + WORDS_AT_ONCE]
-                for q, p in cell.near(asked, kind == SHORTER):
-                    rows = [
-                        (asked[i], words[j], counts[j], n[first + i]) for i, j in zip(q.tolist(), p.tolist())
-                    ]
-                    out = [(a, b, m) for a, b, m, _ in rows]
-                    if kind == SHORTER:
-                        # Only the shorter of the two words has asked.
-                        out += [(b, a, m) for a, b, _, m in rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([a.decode("latin-1") for a, _, _ in out], pa.string()),
-                            pa.array([b.decode("latin-1") for _, b, _ in out], pa.string()),
-                            pa.array([m for _, _, m in out], pa.int64()),
-                        ],
-                        ["word", "near", "near_n"],
-                    )
+                pairs = list(cell.near(some[first : first + WORDS_AT_ONCE]))
+                if not pairs:
+                    continue
+                asked = (np.concatenate([q for q, _ in pairs]) + first).tolist()
+                found = np.concatenate([p for _, p in pairs]).tolist()
+                a, b = [some[i] for i in asked], [words[j] for j in found]
+                m, k = [counts[j] for j in found], [n[i] for i in asked]
+                if edit == INSERTED:
+                    # Only the shorter of the two words has asked.
+                    a, b, m = a + b, b + a, m + k
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x.decode("latin-1") for x in a], pa.string()),
+                        pa.array([x.decode("latin-1") for x in b], pa.string()),
+                        pa.array(m, pa.int64()),
+                    ],
+                    ["word", "near", "near_n"],
+                )
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """``word, near, near_n``: every ordered pair of ``words`` (``word, n``, each
     word once, letters a-z and U+00C0 to U+00FF) that is one edit apart."""
     routed = cut_lineage(words.select("word", "n").mapInArrow(_route(cells(words)), ROUTED), "cells")
-    sizes = routed.where("kind = 0").groupBy("cell").agg(F.count("*").alias("held"))
+    sizes = routed.where("not asks").groupBy("cell").agg(F.count("*").alias("held"))
     # Cells are bounded in number, by the sample; only the crowded are listed.
     crowded = {r["cell"]: -(-r["held"] // PART_WORDS) for r in sizes.where(F.col("held") > PART_WORDS).collect()}
     parts: Column = F.lit(1)
@@ -360,9 +406,9 @@ def near_words(words: DataFrame) -> DataFrame:
         parts = F.coalesce(table[F.col("cell")], F.lit(1))
     dealt = routed.withColumn("parts", parts.cast("int"))
     own = F.array(F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
-    goes = F.when(F.col("kind") == 0, own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = dealt.select("cell", F.explode(goes).alias("part"), "kind", "word", "n")
-    return placed.repartition("cell", "part").sortWithinPartitions("cell", "part", "kind").mapInArrow(_search, NEAR)
+    goes = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+    placed = dealt.select("cell", F.explode(goes).alias("part"), "asks", "word", "n")
+    return placed.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks").mapInArrow(_search, NEAR)
 
 
 # --------------------------------------------------------------------- forms
