@@ -30,6 +30,9 @@ not read and cannot clash.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,11 +40,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runweave.llm.common import ascii_lower, attach_by_key
+from runweave.llm.common import attach_by_key, slices
 from runweave.storage import cut_lineage
 
 # The letters of words after A-Z are lower-cased.
 LETTERS = "a-zÀ-ÿ"
+SLICE = 1 << 20
+# Texts of more characters are read run by run.
+LONG_TEXT = 1 << 20
+# So many counted words a task keeps before it hands them on.
+WORDS_KEPT = 200_000
 # About so many words place the cells; so many should share a cell.
 SAMPLE_WORDS = 40_000
 CELL_WORDS = 4_000
@@ -63,13 +71,13 @@ MOST = 30_000
 ROUTED = "cell long, asks boolean, word string, n long"
 NEAR = "word string, near string, near_n long"
 REPLACED, INSERTED = 0, 1
-# Letters more and less that one edit may bring to each block: one line for every
-# place where the edit may be.
-BUDGETS = {
-    REPLACED: np.array([[(1, 1), (0, 0), (0, 0)], [(0, 0), (1, 1), (0, 0)], [(0, 0), (0, 0), (1, 1)]]),
-    INSERTED: np.array([[(1, 0), (0, 0), (1, 1)], [(1, 0), (1, 1), (0, 0)]]),
-}
 BLOCKS = 3
+# Blocks that one edit changes, as bits for a letter less and a letter more in each:
+# one entry for every place where the edit may be.
+PLACES = {REPLACED: [0b000011, 0b001100, 0b110000], INSERTED: [0b110010, 0b001110]}
+POSSIBLE = {
+    edit: np.array([any(marks & ~place == 0 for place in places) for marks in range(64)]) for edit, places in PLACES.items()
+}
 # Fixed value: an odd factor for numbering blocks of letters.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 # Cells are numbered by edit, by the length of their words, and by leaf.
@@ -83,25 +91,47 @@ _index[0xC0:] = np.arange(26, BLOCK)
 # --------------------------------------------------------------------- words
 
 
-def varied_words(docs: DataFrame, modulus: int, least_length: int) -> DataFrame:
-    """``word``, one row per occurrence: runs of letters, of which those whose hash
-    with the row's id is divisible by ``modulus`` lose one character."""
-    pattern = F.lit(f"[{LETTERS}]{{{least_length},}}")
-    # A shorter run gives no word that is long enough.
-    runs = docs.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-        F.explode(F.regexp_extract_all(ascii_lower("text"), pattern, F.lit(0))).alias("run"),
-    )
-    hashed = runs.select("run", F.crc32(F.encode(F.concat("id", F.lit(":"), "run"), "UTF-8")).alias("h"))
-    at = F.pmod("h", F.length("run")).cast("int")
-    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    word = F.when(F.pmod("h", F.lit(modulus)) == 0, less).otherwise(F.col("run"))
-    return hashed.select(word.alias("word")).where(F.length("word") >= least_length)
+def _vary(modulus: int, least_length: int):
+    run = re.compile(f"[{LETTERS}]{{{least_length},}}")
+
+    def counted(text: str) -> Counter[str]:
+        if len(text) <= LONG_TEXT:
+            return Counter(run.findall(text))
+        return Counter(found[0] for found in run.finditer(text))
+
+    def partial(total: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, int] = {}
+        for batch in slices(batches, "text", SLICE):
+            for name, text in zip(batch.column("id"), batch.column("text")):
+                raw = text.as_buffer()
+                if raw is None:
+                    continue
+                begun = zlib.crc32(f"{name.as_py()}:".encode())
+                # bytes.lower() changes A-Z alone.  A shorter run gives no word.
+                for word, n in counted(raw.to_pybytes().lower().decode()).items():
+                    h = zlib.crc32(word.encode(), begun)
+                    if h % modulus == 0:
+                        at = h % len(word)
+                        word = word[:at] + word[at + 1 :]
+                        if len(word) < least_length:
+                            continue
+                    total[word] = total.get(word, 0) + n
+            if len(total) > WORDS_KEPT:
+                yield partial(total)
+                total = {}
+        yield partial(total)
+
+    return scan
 
 
 def vocabulary(docs: DataFrame, modulus: int, least_length: int, least_n: int) -> DataFrame:
-    """``word, n`` of the words that occur often enough."""
-    counted = varied_words(docs, modulus, least_length).groupBy("word").agg(F.count("*").alias("n"))
+    """``word, n`` of the words that occur often enough: runs of letters, of which
+    those whose hash with the row's id is divisible by ``modulus`` lose one character."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
+    counted = rows.mapInArrow(_vary(modulus, least_length), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= least_n)
 
 
@@ -134,14 +164,13 @@ def vectors(codes: np.ndarray, edit: int, goal: int) -> np.ndarray:
 
 @dataclass
 class Node:
-    #: The box: bounds of the dimensions cut on the way here.
-    dims: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
     dim: int = -1
     cut: int = 0
     left: int = -1
     right: int = -1
+    #: Bounds of ``dim`` in this node's box.
+    low: int = 0
+    high: int = MOST
     #: Number of the leaf, and which of the points it was built from lie in it.
     leaf: int = -1
     points: np.ndarray | None = None
@@ -151,12 +180,11 @@ class Tree:
     """A k-d tree over vectors of counts; the leaves' boxes cover all space."""
 
     def __init__(self, points: np.ndarray, leaf_size: int, least_share: float = 0.0) -> None:
-        self.nodes: list[Node] = []
-        self.leaves: list[int] = []
-        none = np.zeros(0, np.int64)
-        todo = [(self._add(none, none, none), np.arange(len(points)))]
+        self.nodes: list[Node] = [Node()]
+        self.leaves = 0
+        todo: list[tuple[int, np.ndarray, dict[int, tuple[int, int]]]] = [(0, np.arange(len(points)), {})]
         while todo:
-            at, own = todo.pop()
+            at, own, box = todo.pop()
             node = self.nodes[at]
             best, dim, cut = 0, -1, 0
             if len(own) > leaf_size:
@@ -168,30 +196,16 @@ class Tree:
                         dim, cut = int(even.argmax()), c
                         best = int(even[dim])
             if dim < 0 or best < least_share * len(own):
-                node.leaf, node.points = len(self.leaves), own
-                self.leaves.append(at)
+                node.leaf, node.points = self.leaves, own
+                self.leaves += 1
                 continue
             node.dim, node.cut = dim, cut
+            node.low, node.high = box.get(dim, (0, MOST))
+            node.left, node.right = len(self.nodes), len(self.nodes) + 1
+            self.nodes += [Node(), Node()]
             goes = points[own, dim] <= cut
-            node.left = self._add(*self._bounded(node, dim, high=cut))
-            node.right = self._add(*self._bounded(node, dim, low=cut + 1))
-            todo += [(node.left, own[goes]), (node.right, own[~goes])]
-
-    def _add(self, dims: np.ndarray, low: np.ndarray, high: np.ndarray) -> int:
-        self.nodes.append(Node(dims, low, high))
-        return len(self.nodes) - 1
-
-    @staticmethod
-    def _bounded(node: Node, dim: int, low: int | None = None, high: int | None = None) -> tuple[np.ndarray, ...]:
-        dims, lows, highs = node.dims.copy(), node.low.copy(), node.high.copy()
-        if dim not in dims:
-            dims, lows, highs = np.append(dims, dim), np.append(lows, 0), np.append(highs, MOST)
-        at = int(np.flatnonzero(dims == dim)[0])
-        if low is not None:
-            lows[at] = max(lows[at], low)
-        if high is not None:
-            highs[at] = min(highs[at], high)
-        return dims, lows, highs
+            todo.append((node.left, own[goes], box | {dim: (node.low, cut)}))
+            todo.append((node.right, own[~goes], box | {dim: (cut + 1, node.high)}))
 
     def leaf_of(self, points: np.ndarray) -> np.ndarray:
         out = np.zeros(len(points), np.int64)
@@ -207,29 +221,32 @@ class Tree:
         return out
 
     def reached(self, points: np.ndarray, edit: int) -> Iterator[tuple[Node, np.ndarray]]:
-        """Leaves whose box one edit of some points may reach, and those points."""
-        budgets = BUDGETS[edit]
-        todo = [(0, np.arange(len(points)))]
+        """Leaves whose box one edit of some points may reach, and those points.
+
+        On the way down a point keeps, as a bit per block and direction, in what
+        it lies outside the box by one; no edit moves a block by two.
+        """
+        columns = np.ascontiguousarray(points.T)
+        todo = [(0, np.arange(len(points)), np.zeros(len(points), np.uint8))]
         while todo:
-            at, own = todo.pop()
+            at, own, outside = todo.pop()
             node = self.nodes[at]
-            if len(node.dims):
-                here = points[own[:, None], node.dims]
-                up, down = np.maximum(node.low - here, 0), np.maximum(here - node.high, 0)
-                near = np.ones((len(budgets), len(own)), bool)
-                for block in range(BLOCKS):
-                    mine = np.flatnonzero(node.dims // BLOCK == block)
-                    if len(mine):
-                        more, less = up[:, mine].sum(1), down[:, mine].sum(1)
-                        near &= more <= budgets[:, block, :1]
-                        near &= less <= budgets[:, block, 1:]
-                own = own[near.any(0)]
-            if not len(own):
-                continue
             if node.leaf >= 0:
                 yield node, own
-            else:
-                todo += [(node.left, own), (node.right, own)]
+                continue
+            value = columns[node.dim][own]
+            block = node.dim // BLOCK
+            for child, far, was, bit in (
+                (node.left, value - node.cut, value - node.high, 2 * block),
+                (node.right, node.cut + 1 - value, node.low - value, 2 * block + 1),
+            ):
+                more = np.maximum(far, 0) - np.maximum(was, 0)
+                mark = np.uint8(1 << bit)
+                now = np.where(more == 1, outside | mark, outside)
+                stays = (more == 0) | (more == 1) & (outside & mark == 0)
+                some = np.flatnonzero(stays & POSSIBLE[edit][now])
+                if len(some):
+                    todo.append((child, own[some], now[some]))
 
 
 Trees = dict[tuple[int, int], Tree]
@@ -325,7 +342,7 @@ class Cell:
         self.edit = edit
         self.codes = letters(words)
         self.goal = self.codes.shape[1]
-        self.keys = ordered(self.codes, edit, self.goal)
+        self.keys = ordered(self.codes, edit, self.goal).T.copy()
         self.tree = Tree(vectors(self.codes, edit, self.goal), LEAF_WORDS)
 
     def near(self, queries: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -339,11 +356,8 @@ class Cell:
             for low in range(0, len(some), at_once):
                 own = some[low : low + at_once]
                 # All blocks but the one with the edit have the same letters in order.
-                same = keys[own][:, None] == self.keys[points][None]
-                if self.edit == REPLACED:
-                    q, p = np.nonzero(same[..., 0] & same[..., 1] | same[..., 0] & same[..., 2] | same[..., 1] & same[..., 2])
-                else:
-                    q, p = np.nonzero(same[..., 1] | same[..., 2])
+                one, two, three = (keys[own, i][:, None] == self.keys[i, points] for i in range(BLOCKS))
+                q, p = np.nonzero(one & (two | three) | two & three if self.edit == REPLACED else two | three)
                 q, p = own[q], points[p]
                 fits = verified(codes[q], self.codes[p])
                 if fits.any():
