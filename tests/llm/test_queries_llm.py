@@ -26,8 +26,8 @@ def test_query_equals_sql(spark, name):
     assert rows[0] == rows[1]
 
 
-def test_ten_operators_are_registered():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
 
 
 def test_stages_keep_what_they_should(spark, odd_docs):
