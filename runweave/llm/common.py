@@ -8,8 +8,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from runweave.storage import cut_lineage
+
 # Into how many parts the rows of one key are dealt before they meet others.
 SALTS = 64
+# Keys of up to about a hundred bytes that are broadcast at most.
+BROADCAST_KEYS = 50_000
 # The letters that are lower-cased where only A-Z count.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -40,22 +44,31 @@ def attach_by_key(rows: DataFrame, keyed: DataFrame, key: str, spread: str, salt
     return parted.join(parts, [key, "_part"], "left").drop("_part")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, mark: Column, kept_mark: str) -> DataFrame:
-    """The rows of ``docs`` whose id and ``mark`` are in ``kept``, one for each.
+def _key(mark: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), mark)
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, mark: Column, decided_mark: str) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` keeps, one for each kept id and mark.
 
-    ``mark`` is an expression over ``docs`` that ``kept`` has as a column.  Rows
-    that agree in both are first merged where they are read.
+    ``mark`` is an expression over ``docs`` that ``decided`` has as a column, beside
+    ``doc_id`` and ``kept``, a row for each of ``docs``.  Ids and marks alone say
+    which rows go, and which stand for several.  Where those keys are few
+    (``BROADCAST_KEYS``, about a hundred bytes each) they go to the rows; only the
+    rows that stand for several are shuffled then.  Else all rows meet their
+    decisions by a shuffle, in which those that agree are merged where they are read.
     """
     names = docs.columns
-    wrapped = docs.select(
-        F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), mark).alias("_key"),
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
-    )
+    keys = decided.select(_key(F.col(decided_mark)).alias("_key"), "kept")
+    keys = keys.groupBy("_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    keys = cut_lineage(keys.where("not kept or n > 1").select("_key", "kept"), "decided")
+    wrapped = docs.select(_key(mark).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        marked = wrapped.join(F.broadcast(keys), "_key", "left").where("kept is null or kept")
+        several = marked.where("kept").groupBy("_key").agg(F.first("_row").alias("_row"))
+        return marked.where("kept is null").select("_row.*").unionByName(several.select("_row.*"))
     first = wrapped.groupBy("_key").agg(F.first("_row").alias("_row"))
-    wanted = kept.select(
-        F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col(kept_mark)).alias("_key")
-    ).distinct()
-    return first.join(wanted, "_key", "left_semi").select("_row.*")
+    return first.join(keys.where("not kept"), "_key", "left_anti").select("_row.*")
 
 
 def slices(batches: Iterator[pa.RecordBatch], size_col: str, most: int) -> Iterator[pa.RecordBatch]:

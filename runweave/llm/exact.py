@@ -3,8 +3,9 @@
 Every partition makes a run: its digests in order, each with the identifier that
 it would keep and a count.  Runs are exchanged in binomial rounds: of the nodes
 that differ in one digit of their number, each takes the digests with its own
-digit from the others and merges those runs into one.  After the last round a
-digest lives on one node only.  The answers go back down the same tree.  A digest
+digit from the others and merges those runs into one, in order of digest.  A
+node's entries are on one task, sorted; the merge walks over them.  After the last
+round a digest lives on one node only.  The answers go back down the same tree.  A digest
 has one entry per run, so no exchange sees more than ``RADIX`` entries of it, be
 it the digest of a third of all rows.
 
@@ -25,14 +26,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runweave.llm.common import ascii_lower, bucket_of, keep_rows, slices
+from runweave.llm.common import ascii_lower, keep_rows, slices
 from runweave.storage import cut_lineage
 
 # Runs merged at once, as a power of two.
 RADIX_BITS = 3
 RADIX = 1 << RADIX_BITS
+# monotonically_increasing_id(): the partition, then 33 bits of row number.
+ROW_BITS = 33
 # A task looks at about this many bytes of text at a time.
-SLICE = 8 << 20
+SLICE = 1 << 20
 DIGESTS = "doc_id long, row_id long, digest long, sha string, n_bytes long"
 ENTRY = ["digest", "sha", "n_bytes"]
 
@@ -70,9 +73,15 @@ def _digit(col: str, level: int) -> Column:
     return F.shiftright(F.col(col), RADIX_BITS * level).bitwiseAND(F.lit(RADIX - 1)).cast("int")
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    """Merge what meets on a node: equal entries become one, order by digest."""
-    return runs.groupBy("node", *ENTRY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+def _merged(entries: DataFrame) -> DataFrame:
+    """One sorted run per node from all entries that meet there.
+
+    Entries go to their node alone, and are put in order of digest; equal ones
+    are then neighbours.  The grouping asks for no other exchange or order, so it
+    walks over the sorted entries, compares them in full, and keeps the best.
+    """
+    ordered = entries.repartition("node").sortWithinPartitions("node", *ENTRY)
+    return ordered.groupBy("node", *ENTRY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
 
 
 def tree_merge(rows: DataFrame, keep: str = "largest", levels: int | None = None) -> DataFrame:
@@ -89,7 +98,8 @@ def tree_merge(rows: DataFrame, keep: str = "largest", levels: int | None = None
             levels += 1
     sign = 1 if keep == "largest" else -1
     nodes = RADIX**levels
-    leaves = rows.withColumn("node", bucket_of(nodes, "row_id"))
+    # A leaf is what one task has read.
+    leaves = rows.withColumn("node", F.pmod(F.shiftright("row_id", ROW_BITS), F.lit(nodes)).cast("int"))
     # The greatest rank is kept; -id for smallest. Nulls order below all ids.
     rank = F.struct(
         F.col("doc_id").isNotNull().alias("has"),
@@ -129,10 +139,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", levels: int | None
 def drop_exact_duplicates(docs: DataFrame, keep: str = "largest", levels: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows meet their decision by id and digest.  Rows equal in both are merged
-    on either side of the exchange, so not even a row repeated a million times
-    is gathered.
+    Rows meet their decision by id and digest; of rows equal in both one stays.
     """
-    decided = exact_duplicates(docs, keep, levels).where("kept")
+    decided = exact_duplicates(docs, keep, levels)
     digest = F.sha2(F.encode(ascii_lower("text"), "UTF-8"), 256)
     return keep_rows(docs, decided, digest, "text_sha256")

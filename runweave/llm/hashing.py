@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 # Bytes looked at in one go; about forty bytes of memory for each.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 U64 = np.uint64
 # White space, and odd multipliers for mixing.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"

@@ -45,7 +45,7 @@ from runweave.llm.hashing import U64, mix, shingle_sets
 from runweave.storage import cut_lineage
 
 # A task tokenises about this many bytes of text at a time.
-SLICE = 2 << 20
+SLICE = 1 << 19
 # Shingles of a family in one comparison task.
 BLOCK_SHINGLES = 200_000
 # Members of a family in one part of it.
@@ -471,9 +471,10 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = 3) -> Data
     id the one with the least text digest), with all its columns.  Wordless rows
     all stay; rows equal in id and text are one."""
     found = near_duplicates(docs, percent, k)
-    lone = found.where("n_shingles = 0").select("doc_id", "sha")
-    head = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("root").agg(
-        F.min(F.struct("sha", "doc_id")).alias("kept")
-    )
-    kept = lone.unionByName(head.select("kept.doc_id", "kept.sha"))
-    return keep_rows(docs, kept, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256), "sha")
+    named = (F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    head = found.where(named).groupBy("root").agg(F.min(F.struct("sha", "doc_id")).alias("head"))
+    # Rows beside the one that stays go; most components have a single row.
+    rows = attach_by_key(found.select("root", "row_id", "doc_id", "sha", "n_shingles"), head, "root", "row_id")
+    same = F.struct("sha", "doc_id").eqNullSafe(F.struct("head.sha", "head.doc_id"))
+    decided = rows.select("doc_id", "sha", ((F.col("n_shingles") == 0) | same).alias("kept"))
+    return keep_rows(docs, decided, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256), "sha")

@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -36,6 +35,14 @@ from runweave.llm.hashing import U64, mix
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case words with a letter in them; superscripts, fractions, and Roman and
+    circled numerals are none."""
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 # Parameters of the training sample.
 SAMPLE_DOCS = 2_000
 SEGMENTS = 4
@@ -49,7 +56,7 @@ RATE = 0.3
 DECAY = 1e-6
 LEXICON_COUNT = 3
 LEXICON_SHARE = 0.9
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 @dataclass
@@ -201,13 +208,14 @@ def train(segments: list[tuple[list[str], int]], languages: list[str], seed: int
 
 def predict(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
     """Language and score of every text."""
-    split = [WORD.findall(t.lower()) for t in texts]
+    split = [words_of(t) for t in texts]
     lengths = np.array([len(w) for w in split])
     label, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     some = np.flatnonzero(lengths)
     if not len(some) or not model.languages:
         return label, score
-    codes, names = pd.factorize(np.array([w for words in split for w in words], dtype=object))
+    names: dict[str, int] = {}
+    codes = np.array([names.setdefault(w, len(names)) for words in split for w in words], np.int64)
     scores = emission_scores(list(names), model)
     packed = Packed(lengths[some])
     marginal, _ = forward_backward(scores[codes[packed.source]], packed, model)
@@ -223,7 +231,7 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
 
 def word_languages(text: str, model: Model) -> list[tuple[str, str]]:
     """Every word of a text with its own most likely language."""
-    words = WORD.findall(text.lower())
+    words = words_of(text)
     if not words or not model.languages:
         return [(w, UNKNOWN) for w in words]
     packed = Packed(np.array([len(words)]))
@@ -252,7 +260,7 @@ def fit(docs: DataFrame, learn: Column) -> Model:
         for batch in batches:
             ids, langs, out = [], [], []
             for doc, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), _texts(batch)):
-                words = WORD.findall(text.lower())
+                words = words_of(text)
                 pieces = min(SEGMENTS, -(-len(words) // SEGMENT_WORDS))
                 for i in range(pieces):
                     at = i * max(len(words) - SEGMENT_WORDS, 0) // max(pieces - 1, 1)

@@ -19,7 +19,8 @@ driver, and its pieces (a fixed number) go to the tasks.
 Edge cases: null and empty texts have no pieces and one segmentation; spaces,
 control characters and the space mark itself survive the round trip; ties go to
 the longer last piece in the best segmentation; a very long run without spaces
-is one lattice, solved on its own; rows that repeat are each encoded; the input
+is one lattice, solved on its own, with memory for one number per character and
+for the paths searched; rows that repeat are each encoded; the input
 row is kept as a struct, so no name clashes.
 """
 
@@ -27,11 +28,11 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -41,19 +42,21 @@ from runweave.llm.hashing import U64, mix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SLICE = 2 << 20
+SLICE = 1 << 19
 # Pieces decoded in one go.
 PIECES_AT_ONCE = 1 << 19
 N_BEST = 3
 # Words of more characters are solved one by one.
 LONG_WORD = 64
 # So many solved words a task keeps in mind.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 50_000
 # So many words are solved side by side.
 WORDS_AT_ONCE = 1 << 15
 # Bits of a hash that tell early that a substring is no piece.
 FILTER_BITS = 20
 UNKNOWN_PENALTY = 10.0
+# Scores are kept to this part of one, so that sums are exact and equal sums are ties.
+SCORE_UNIT = 1 / 65_536
 WORD = re.compile(r"^[^ ]+| +[^ ]*")
 
 
@@ -67,10 +70,12 @@ class Vocabulary:
     first_byte: int
     unknown: float
     longest: int
+    values: list[float] = field(default_factory=list)
     tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     seen: np.ndarray = field(default_factory=lambda: np.zeros(1 << FILTER_BITS, bool))
 
     def __post_init__(self) -> None:
+        self.values = self.scores.tolist()
         for n in range(1, self.longest + 1):
             known = [(p, i) for p, i in self.ids.items() if len(p) == n]
             codes = np.array([[ord(c) for c in p] for p, _ in known], U64).reshape(-1, n)
@@ -79,6 +84,7 @@ class Vocabulary:
             self.seen[keys >> U64(64 - FILTER_BITS)] = True
             self.tables.append((keys[order], np.array([i for _, i in known], np.int64)[order]))
 
+
 def substring_hashes(codes: np.ndarray) -> np.ndarray:
     """A hash per row of character codes."""
     total = np.zeros(len(codes), U64)
@@ -92,7 +98,7 @@ def load(path: str = MODEL_PATH) -> Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     size = model.get_piece_size()
-    scores = np.array([model.get_score(i) for i in range(size)])
+    scores = np.round(np.array([model.get_score(i) for i in range(size)]) / SCORE_UNIT) * SCORE_UNIT
     ids, spelled, first_byte = {}, [], -1
     for i in range(size):
         piece = model.id_to_piece(i)
@@ -117,11 +123,12 @@ def edges_into(word: str, end: int, vocabulary: Vocabulary) -> Iterator[tuple[in
     """``start, score, id`` of the edges that end at a position, longest first; id
     -1 stands for the character's bytes."""
     found = False
+    known, values = vocabulary.ids, vocabulary.values
     for start in range(max(0, end - vocabulary.longest), end):
-        piece = vocabulary.ids.get(word[start:end])
+        piece = known.get(word[start:end])
         if piece is not None:
             found = found or start == end - 1
-            yield start, float(vocabulary.scores[piece]), piece
+            yield start, values[piece], piece
     if not found:
         yield end - 1, vocabulary.unknown, -1
 
@@ -134,27 +141,46 @@ def spell(word: str, path: list[tuple[int, int, int]], vocabulary: Vocabulary) -
 
 
 def n_best(word: str, n: int, vocabulary: Vocabulary) -> list[tuple[float, list[int]]]:
-    """The ``n`` best segmentations of one lattice, best first."""
-    best = [0.0]
-    into: list[list[tuple[int, float, int]]] = [[]]
+    """The ``n`` best segmentations of one lattice, best first.
+
+    The agenda holds, for every suffix reached, only the best edge not yet taken;
+    taking it puts the next one there.  Edges are looked up again instead of kept,
+    so memory grows with the paths searched, not with the lattice.  Among ties the
+    one nearest the start comes first: the search goes on to the start of a tied
+    path before it turns to others.
+    """
+    best = array("d", [0.0])
     for end in range(1, len(word) + 1):
-        into.append(list(edges_into(word, end, vocabulary)))
-        best.append(max(best[start] + score for start, score, _ in into[end]))
-    # Backward A-star: what is known of the suffix plus the best of the prefix.
-    agenda = [(-best[-1], 0, len(word), 0.0, ())]
-    tick, found = 0, []
+        best.append(max(best[start] + score for start, score, _ in edges_into(word, end, vocabulary)))
+    agenda: list[tuple] = []
+    tick = 0
+
+    def offer(at: int, suffix: float, path: tuple, rank: int) -> None:
+        """Put the edge of this rank among those into ``at`` on the agenda."""
+        nonlocal tick
+        edges = sorted((-(score + best[start]), start, score, piece) for start, score, piece in edges_into(word, at, vocabulary))
+        if rank < len(edges):
+            worth, start, score, piece = edges[rank]
+            tick += 1
+            heapq.heappush(agenda, (worth - suffix, start, tick, score, piece, at, suffix, path, rank))
+
+    if not word:
+        return [(0.0, [])]
+    found = []
+    offer(len(word), 0.0, (), 0)
     while agenda and len(found) < n:
-        _, _, at, suffix, path = heapq.heappop(agenda)
-        if at == 0:
-            steps, ids = path, []
-            while steps:
-                edge, steps = steps
-                ids.append(edge)
-            found.append((suffix, spell(word, ids, vocabulary)))
+        # What is known of the suffix plus the best of the prefix.
+        _, start, _, score, piece, at, suffix, path, rank = heapq.heappop(agenda)
+        offer(at, suffix, path, rank + 1)
+        longer = ((start, at, piece), path)
+        if start:
+            offer(start, suffix + score, longer, 0)
             continue
-        for start, score, piece in into[at]:
-            tick += 1
-            heapq.heappush(agenda, (-(suffix + score + best[start]), tick, start, suffix + score, ((start, at, piece), path)))
+        ids, steps = [], longer
+        while steps:
+            edge, steps = steps
+            ids.append(edge)
+        found.append((suffix + score, spell(word, ids, vocabulary)))
     return found
 
 
@@ -304,11 +330,12 @@ class Memory:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The number of every word, solving those not seen before."""
-        if len(self.names) > WORDS_KEPT:
-            self._forget()
-        codes, names = pd.factorize(np.array(words, dtype=object))
-        names = names.tolist()
+        names: dict[str, int] = {}
+        codes = np.array([names.setdefault(w, len(names)) for w in words], np.int64)
         new = [w for w in names if w not in self.number]
+        if len(self.names) + len(new) > WORDS_KEPT:
+            self._forget()
+            new = list(names)
         if new:
             found, known = solve(new, self.vocabulary), self.known
             self.number.update(zip(new, range(len(self.names), len(self.names) + len(new))))
@@ -325,7 +352,7 @@ class Memory:
     def n_best(self, number: int, n: int) -> list[tuple[float, list[int]]]:
         word = self.names[number]
         if (word, n) not in self.others:
-            if len(self.others) > WORDS_KEPT // 4:
+            if len(self.others) >= WORDS_KEPT // 4:
                 self.others.clear()
             self.others[word, n] = n_best(word, n, self.vocabulary)
         return self.others[word, n]

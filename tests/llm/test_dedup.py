@@ -7,6 +7,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from runweave.llm import common, exact
 from runweave.llm.components import components
 from runweave.llm.decontaminate import contamination, drop_contaminated
 from runweave.llm.exact import drop_exact_duplicates, exact_duplicates
@@ -216,3 +219,20 @@ def test_exact_query_equals_brute_force(spark, tables):
         groups[lower(r.text)].append(r.doc_id)
     want = {(i, max(g), len(g), i == max(g)) for g in groups.values() for i in g}
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in op1_exact_dedup(spark, tables).collect()} == want
+
+
+def test_runs_are_merged_in_order_on_their_nodes(spark, odd_docs):
+    entries = exact.digests(odd_docs).select(
+        (F.col("row_id") % 3).cast("int").alias("node"), *exact.ENTRY, F.struct("doc_id").alias("best"), F.lit(1).cast("long").alias("n")
+    )
+    run = exact._merged(entries)
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(node" in plan and "HashAggregate" not in plan
+    lies = run.select(F.spark_partition_id().alias("part"), "node", *exact.ENTRY, "n").collect()
+    assert [tuple(r) for r in lies] == sorted(tuple(r) for r in lies) and sum(r.n for r in lies) == odd_docs.count()
+
+
+def test_few_decisions_and_many_keep_the_same_rows(spark, odd_docs, monkeypatch):
+    few = sorted(map(repr, exact.drop_exact_duplicates(odd_docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert sorted(map(repr, exact.drop_exact_duplicates(odd_docs).collect())) == few

@@ -30,7 +30,7 @@ def test_language_edges(spark, odd_docs, no_docs):
     got = language.identify(odd_docs, model).select("row.doc_id", "row.text", "lang_pred", "lang_score").collect()
     assert len(got) == odd_docs.count()
     for r in got:
-        assert (r.lang_pred == "und") == (not language.WORD.findall(r.text or ""))
+        assert (r.lang_pred == "und") == (not language.words_of(r.text or ""))
     kept = language.drop_unknown(odd_docs, model)
     assert kept.columns == odd_docs.columns and kept.count() == sum(r.lang_pred != "und" for r in got)
     nothing = language.fit(no_docs, F.lit(True))
@@ -38,6 +38,10 @@ def test_language_edges(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language.identify(odd_docs, nothing).collect()} == {"und"}
 
 
+def test_numbers_that_look_like_letters_are_none():
+    assert [language.words_of(t) for t in ("² ½ Ⅷ ① 12 _", "m² x½", "Né 3D")] == [[], ["m²", "x½"], ["né", "d"]]
+
+
 def test_marginals_equal_the_sum_over_all_paths():
     rng = np.random.default_rng(1)
     model = language.Model(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), {})
@@ -119,6 +123,29 @@ def test_n_best_of_texts_equals_all_paths(vocabulary):
         assert len({tuple(pieces.apply_edits(ids.tolist(), e)) for _, e in others}) == len(others)
 
 
+@pytest.mark.parametrize("word", [" ----", " aaaaa", " ......", " ====-"])
+def test_ties_go_to_the_longer_last_piece(vocabulary, word):
+    def bounds(ids):
+        at, out = len(word), []
+        for i in reversed(ids):
+            at -= len(vocabulary.spelled[i].decode())
+            out.append(at)
+        return out
+
+    found = pieces.n_best(word, 50, vocabulary)
+    assert [s for s, _ in found] == every_path(word, vocabulary)[:50]
+    assert len({tuple(ids) for _, ids in found}) == len(found)
+    top = [ids for s, ids in found if s == found[0][0]]
+    assert bounds(top[0]) == min(map(bounds, top))
+
+
+@pytest.mark.parametrize("word", [" " + "-" * 20_000, " " + "a" * 20_000, " " + "." * 5_000, " " + "ab-." * 5_000])
+def test_long_runs_of_ties_are_linear(vocabulary, word):
+    found = pieces.n_best(word, 3, vocabulary)
+    assert len(found) == 3 and all(pieces.decode_ids(ids, vocabulary) == word[1:] for _, ids in found)
+    assert sorted((s for s, _ in found), reverse=True) == [s for s, _ in found]
+
+
 def test_many_words_at_once_equal_one_at_a_time(vocabulary):
     rng = random.Random(2)
     words = [" " + "".join(rng.choice("abcdeéñ日\n") for _ in range(rng.choice([1, 5, 30, 90]))) for _ in range(200)]
