@@ -20,34 +20,52 @@ from runweave.llm.exact import drop_exact_duplicates
 from runweave.llm.jaccard import drop_near_duplicates
 from runweave.storage import cut_lineage
 
+# Rows that go to a Python worker at once: few, as their texts go along.
+BATCH_ROWS = 1_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 # Near-duplicates share this percentage of their shingles of so many words.
 NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session's Python workers hold few texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has no language go."""
+    """Documents whose text has no language go: null, empty, or without a letter.
+
+    A null language or id is no reason; a table without rows stays empty.
+    """
+    small_batches(spark)
     model = language.fit(docs, F.col("doc_id").isNotNull())
     return language.drop_unknown(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays; of rows that repeat
+    id and text, one.  Null texts count as empty, null ids are kept last."""
     return drop_exact_duplicates(docs, keep="largest")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays (of
+    several with that id the one with the least text digest).  Documents without
+    words all stay."""
+    small_batches(spark)
     return drop_near_duplicates(docs, NEAR_PERCENT, NEAR_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with too much of the benchmark in them go."""
+    """Documents with too much of the benchmark in them go; those without words
+    stay, and so do all where the benchmark has no items."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text as pieces; ``round_trip`` says that they decode to it."""
+    """Each text as pieces; ``round_trip`` says that they decode to it.  Null and
+    empty texts have none.  Every document stays."""
+    small_batches(spark)
     vocabulary = pieces.load(pieces.MODEL_PATH)
     encoded = pieces.encode(docs, vocabulary, pieces.N_BEST)
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
