@@ -77,8 +77,9 @@ def _merged(entries: DataFrame) -> DataFrame:
     """One sorted run per node from all entries that meet there.
 
     Entries go to their node alone, and are put in order of digest; equal ones
-    are then neighbours.  The grouping asks for no other exchange or order, so it
-    walks over the sorted entries, compares them in full, and keeps the best.
+    are then neighbours.  The grouping needs no other exchange; as its maximum is
+    over structs it is no hash table, but walks over the sorted entries, compares
+    them in full, and keeps the best.
     """
     ordered = entries.repartition("node").sortWithinPartitions("node", *ENTRY)
     return ordered.groupBy("node", *ENTRY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
