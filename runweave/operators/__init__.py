@@ -5,6 +5,7 @@ from runweave.operators.chunks import (
     chunk_size,
     range_pivots,
 )
+from runweave.operators.ledger import chunk_contents, sorted_runs_with_ledger
 from runweave.operators.ranges import assign_range, range_histogram
 from runweave.operators.reports import (
     append_run,
@@ -12,9 +13,12 @@ from runweave.operators.reports import (
     ledger_view,
     node_contribution,
     preview,
+    read_runs,
     run_summary,
     scaling_curve,
 )
+from runweave.operators.selection import select_ranks, strided_values
+from runweave.operators.sketches import add_run_sketches, run_sketches, sketch_pivots
 from runweave.operators.sorting import (
     global_position,
     global_sort,
@@ -34,10 +38,11 @@ from runweave.operators.validate import (
 )
 
 __all__ = [
-    "append_run", "apportion", "assign_chunks", "assign_range", "audit_seeds",
-    "check_complete", "check_conserved", "check_order", "check_sorted", "chunk_manifest",
+    "add_run_sketches", "append_run", "apportion", "assign_chunks", "assign_range", "audit_seeds",
+    "check_complete", "check_conserved", "check_order", "check_sorted", "chunk_contents", "chunk_manifest",
     "chunk_report", "chunk_size", "compare_runs", "global_position",
     "global_sort", "index_rows", "ledger_view", "merge_runs",
     "node_contribution", "position_in_group", "preview", "range_histogram",
-    "range_merge", "range_pivots", "run_summary", "scaling_curve", "sorted_runs",
+    "range_merge", "range_pivots", "read_runs", "run_sketches", "run_summary", "scaling_curve", "select_ranks",
+    "sketch_pivots", "sorted_runs", "sorted_runs_with_ledger", "strided_values",
 ]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from runweave.operators.groups import attach_group_totals, join_totals
 from runweave.operators.layout import numbered_rows, plan_layout
 from runweave.operators.ranges import literal_array, sample_ranges
+from runweave.operators.selection import INTEGERS, select_ranks, strided_values
 from runweave.operators.sorting import global_position, position_in_group
 from runweave.storage import cut_lineage
 
@@ -54,6 +55,13 @@ def chunk_manifest(chunked: DataFrame, col: str = "v") -> DataFrame:
     )
 
 
+def _evenly(n: int, p: int) -> list[int]:
+    """Indices of ``p - 1`` entries of ``n``; the spacing is a double, cut off to a
+    whole index."""
+    spacing = (n - 1) / p
+    return [int(i * spacing) for i in range(1, p)]
+
+
 def range_pivots(
     df: DataFrame, col: str, p: int, method: str = "approx", run: str | None = None
 ) -> list:
@@ -63,7 +71,8 @@ def range_pivots(
     a small table; so they are exact there and close to it beyond, and only
     their rank error is promised.  ``stride`` is exact:
     every (rows/2000)-th value of each sorted ``run``, pooled, then evenly
-    spaced entries of the pool.
+    spaced entries of the pool.  For integers that takes counts alone, see
+    `strided_values`; values of other types are put in order.
     """
     if method == "approx":
         drawn = sample_ranges(df, [col], df.count(), p).drawn
@@ -73,6 +82,18 @@ def range_pivots(
         return df.sparkSession.range(1).select(typed.alias("a")).first()["a"]
     if method != "stride":
         raise ValueError("method is 'approx' or 'stride'")
+    if dict(df.dtypes)[col] in INTEGERS:
+        keyed = df.withColumn("__run", F.lit(0)) if run is None else df.withColumnRenamed(run, "__run")
+        pool = cut_lineage(strided_values(keyed, col, "__run", SAMPLES_PER_RUN), "pool")
+        sizes = pool.agg(
+            F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("m"))), F.lit(0)).alias("nulls")
+        ).first()
+        if sizes["n"] == 0 or p < 2:
+            return []
+        wanted = _evenly(sizes["n"], p)
+        # Nulls come first.
+        later = [at - sizes["nulls"] for at in wanted if at >= sizes["nulls"]]
+        return [None] * (len(wanted) - len(later)) + select_ranks(pool, "v", later, weight="m")
     source = df.select(F.lit(0).alias("__run") if run is None else F.col(run).alias("__run"), col)
     stride = F.greatest(F.lit(1), F.expr(f"group_rows div {SAMPLES_PER_RUN}"))
     placed = position_in_group(source, "__run", col)
@@ -80,9 +101,7 @@ def range_pivots(
     n = pool.count()
     if n == 0 or p < 2:
         return []
-    # The spacing is a double, cut off to a whole index.
-    spacing = (n - 1) / p
-    wanted = [int(i * spacing) for i in range(1, p)]
+    wanted = _evenly(n, p)
     picked = global_position(pool, col).where(F.col("pos").isin(sorted(set(wanted))))
     at = {r["pos"]: r[col] for r in picked.collect()}
     return [at[i] for i in wanted]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from runweave.operators.validate import audit_seeds
 
@@ -116,8 +116,19 @@ def run_summary(
 
 
 def append_run(summary: DataFrame, path: str) -> None:
-    """Add a summary to the table of runs all nodes can read."""
-    summary.write.mode("append").parquet(path)
+    """Add a summary to the table of runs all nodes can read.
+
+    A run has a folder of its own, named by ``run_id``, that is replaced as a
+    whole: appending the same run again, after a retry or a failure, leaves it once.
+    """
+    options = {"partitionOverwriteMode": "dynamic"}
+    summary.write.mode("overwrite").options(**options).partitionBy("run_id").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The table of runs that `append_run` has written."""
+    columns = [c.split()[0] for c in RUN_SUMMARY.split(", ")]
+    return spark.read.schema(RUN_SUMMARY).parquet(path).select(*columns)
 
 
 def _ratio(serial: Column, parallel: Column) -> Column:

@@ -18,15 +18,26 @@ def check_sorted(
 
     Rows are read in the order (chunk, seq).  A row less than the one before
     it is a violation: inner within a chunk, boundary between two chunks.  Nulls
-    are least and NaN is greatest.
-    Ranges of (chunk, seq) are checked side by side, then the seams between
-    ranges from one row per range, so the size of a chunk does not matter.
+    are least and NaN is greatest.  Rows at the same place have no order among
+    each other and are read in that of their values, so the answer does not depend
+    on how rows lie.
+
+    Ranges of (chunk, seq, value) are checked side by side, then the seams between
+    ranges from one row per range, so neither the size of a chunk nor of a place
+    matters.  Where the sample shows rows equal in all three, they are counted
+    before they meet.
     """
     rows = df.select(F.col(chunk).alias("c"), F.col(seq).alias("s"), F.col(v).alias("v"))
     n_rows = rows.count()
     p = num_ranges or default_ranges(df, n_rows)
-    pivots = sample_ranges(rows, ["c", "s"], n_rows, p).pivots
-    ranged = range_number(rows, ["c", "s"], pivots, "r").repartitionById(len(pivots) + 1, "r")
+    place = ["c", "s", "v"]
+    ranges = sample_ranges(rows, place, n_rows, p)
+    pivots = ranges.pivots
+    if ranges.hot:
+        rows = rows.groupBy(*place).agg(F.count("*").alias("n"))
+    else:
+        rows = rows.withColumn("n", F.lit(1).cast("bigint"))
+    ranged = range_number(rows, place, pivots, "r").repartitionById(len(pivots) + 1, "r")
 
     def drops(order: W, this_c: str, this_v: str, prev_c: str, prev_v: str) -> list[Column]:
         c, v = F.lag(prev_c).over(order), F.lag(prev_v).over(order)
@@ -39,11 +50,11 @@ def check_sorted(
         return F.count_if(F.coalesce(F.col(name), F.lit(False)))
 
     inside = ranged.select(
-        "r", "c", "s", "v", *drops(W.partitionBy("r").orderBy("c", "s"), "c", "v", "c", "v")
+        "r", "n", *place, *drops(W.partitionBy("r").orderBy(*place), "c", "v", "c", "v")
     )
-    place = F.struct("c", "s")
+    place = F.struct(*place)
     edges = inside.groupBy("r").agg(
-        F.count("*").alias("n"),
+        F.sum("n").alias("n"),
         count("inner").alias("inner_in"),
         count("boundary").alias("boundary_in"),
         F.min_by("v", place).alias("first_v"),

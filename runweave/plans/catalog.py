@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runweave.functions import chunk_seed, narrow_int32, overflow_int32
 from runweave.operators import (
+    add_run_sketches,
     append_run,
     apportion,
     assign_chunks,
@@ -23,6 +24,7 @@ from runweave.operators import (
     check_conserved,
     check_order,
     check_sorted,
+    chunk_contents,
     chunk_manifest,
     compare_runs,
     global_position,
@@ -35,22 +37,26 @@ from runweave.operators import (
     range_histogram,
     range_merge,
     range_pivots,
+    read_runs,
+    run_sketches,
     run_summary,
     scaling_curve,
+    select_ranks,
+    sketch_pivots,
     sorted_runs,
+    sorted_runs_with_ledger,
 )
 from runweave.plans import inputs as src
 from runweave.sources import (
+    draw_sorted,
     draw_uniform,
-    generate_sorted,
-    generate_uniform,
     number_lines,
     read_numbers,
     write_numbers,
 )
 from runweave.sources.generate import HIGH, LOW, PRIME, ROUNDS, SECOND_SEED
 from runweave.storage import shared_path
-from runweave.streaming import live_sources, session_stream, source_sessions, stream_runs
+from runweave.streaming import live_sources, session_stream, source_events, source_sessions, stream_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -207,6 +213,40 @@ def range_merge_order(spark, sf_dir):
     return index_rows(range_merge(src.part_keys(spark, sf_dir), "v", RANGES, pivots))
 
 
+@query(
+    f"""SELECT i, v FROM (SELECT l_extendedprice_cents AS v, row_number() OVER (ORDER BY l_extendedprice_cents) - 1 AS place,
+               count(*) OVER () AS n
+        FROM (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS l_extendedprice_cents FROM lineitem)) r
+        JOIN (SELECT range AS i FROM range(0, {RANGES + 1})) w ON place = i * (n - 1) // {RANGES}"""
+)
+def select_ranks_prices(spark, sf_dir):
+    """Least, greatest and evenly spaced prices, exactly, from counts alone."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("v")
+    prices = src.table(spark, sf_dir, "lineitem").select(cents)
+    n = prices.count()
+    found = select_ranks(prices, "v", [i * (n - 1) // RANGES for i in range(RANGES + 1)])
+    return spark.createDataFrame(list(enumerate(found)), "i bigint, v bigint")
+
+
+@query(f"SELECT i, true AS close FROM range(1, {RANGES}) t(i)")
+def sketch_pivots_of_runs(spark, sf_dir):
+    """Pivots of all runs from their stored sketches, half of the runs added later;
+    each has its rank within three hundredths of the rows."""
+    rows = src.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("run"), F.col("l_partkey").alias("v"))
+    stored = shared_path(spark, "sketches")
+    for some in (rows.where("run <= 3"), rows.where("run > 3")):
+        add_run_sketches(run_sketches(some, "v", "run"), stored)
+    pivots = sketch_pivots(spark.read.parquet(stored), RANGES)
+    ranks = rows.agg(
+        F.count("*").alias("n"),
+        *[F.struct(F.count_if(F.col("v") < x).alias("lo"), F.count_if(F.col("v") <= x).alias("hi")).alias(f"r{i}") for i, x in enumerate(pivots, 1)],
+    )
+    cuts = [F.struct(F.lit(i).cast("bigint").alias("i"), F.col(f"r{i}.lo").alias("lo"), F.col(f"r{i}.hi").alias("hi")) for i in range(1, RANGES)]
+    even = F.col("n") * F.col("i") / RANGES
+    off = F.greatest(F.col("lo") - even, even - F.col("hi"), F.lit(0)) / F.col("n")
+    return ranks.select("n", F.inline(F.array(*cuts))).select("i", (off < 0.03).alias("close"))
+
+
 # ----------------------------------------------------------------- ranges
 
 # A repeated pivot leaves range 3 empty; a value equal to a pivot goes right.
@@ -356,20 +396,21 @@ def generate_uniform_audit(spark, sf_dir):
     + " SELECT row_number() OVER (ORDER BY v) - 1 AS pos, v FROM drawn"
 )
 def generate_sorted_rows(spark, sf_dir):
-    """The drawn values in order, piped into the sort."""
-    return global_position(_drawn(spark, sf_dir).select("v"), "v")
+    """A value drawn from the key of every order, piped into the sort."""
+    return index_rows(draw_sorted(src.table(spark, sf_dir, "orders"), "o_orderkey", seed=SEED))
 
 
 @query(
-    _drawn_sql("lineitem_positions", "pos").replace(
-        "WITH ", "WITH lineitem_positions AS (SELECT range AS pos FROM range((SELECT count(*) FROM lineitem))), ", 1
+    # Keys repeat, and each repetition draws the same value.
+    _drawn_sql("(SELECT DISTINCT k FROM line_keys)", "k").replace(
+        "WITH ", "WITH line_keys AS (SELECT l_orderkey * 8 + l_linenumber AS k FROM lineitem), ", 1
     )
-    + " SELECT row_number() OVER (ORDER BY v) - 1 AS pos, v FROM drawn"
+    + " SELECT row_number() OVER (ORDER BY v) - 1 AS pos, v FROM line_keys JOIN drawn ON key = k"
 )
 def generate_sorted_audit(spark, sf_dir):
-    """As many generated values as lineitem has rows, in order as they lie."""
-    n = src.table(spark, sf_dir, "lineitem").count()
-    return index_rows(generate_sorted(spark, n, seed=SEED))
+    """A value drawn from the key of every line, in order as they lie."""
+    lines = src.table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey * 8 + l_linenumber").alias("k"))
+    return index_rows(draw_sorted(lines, "k", seed=SEED))
 
 
 # ---------------------------------------------------------------- scalars
@@ -415,6 +456,23 @@ def _sortedness_sql(v: str) -> str:
            count(*) FILTER (WHERE pv > v) = 0 AS is_sorted FROM r"""
 
 
+TIES_SQL = """
+    WITH r AS (SELECT o_orderkey // 1000 AS c, o_orderkey % 1000 // 100 AS s, o_custkey AS v FROM orders),
+    p AS (SELECT c, v, lag(c) OVER w AS pc, lag(v) OVER w AS pv FROM r WINDOW w AS (ORDER BY c, s, v))
+    SELECT count(*) AS n, count(*) FILTER (WHERE pv > v AND pc = c) AS inner_violations,
+           count(*) FILTER (WHERE pv > v AND pc <> c) AS boundary_violations,
+           count(*) FILTER (WHERE pv > v) = 0 AS is_sorted FROM p"""
+
+
+@query(TIES_SQL)
+def check_sorted_ties(spark, sf_dir):
+    """Many rows share a place, in whatever order they lie."""
+    rows = src.table(spark, sf_dir, "orders").select(
+        F.expr("o_orderkey div 1000").alias("c"), F.expr("o_orderkey % 1000 div 100").alias("s"), F.col("o_custkey").alias("v")
+    )
+    return check_sorted(rows, "c", "s", "v")
+
+
 def _sortedness(spark, sf_dir, v):
     rows = src.table(spark, sf_dir, "orders").select(
         F.expr("o_orderkey div 1000").alias("chunk_id"),
@@ -593,8 +651,61 @@ def run_summary_row(spark, sf_dir):
     ledger = src.ledger(spark, sf_dir)
     runs = shared_path(spark, "runs")
     order = _sortedness(spark, sf_dir, "o_orderkey")
-    append_run(run_summary(ledger, SEED, order, run_id=1, compute_us=7000, merge_us=500), runs)
-    return spark.read.parquet(runs)
+    summary = run_summary(ledger, SEED, order, run_id=1, compute_us=7000, merge_us=500)
+    # Appended twice, as by a retry: the run is there once.
+    append_run(summary, runs)
+    append_run(summary, runs)
+    return read_runs(spark, runs)
+
+
+# Lines in chunks by order key, sorted by part: the ledger comes from the sort.
+LINE_CHUNKS_SQL = "SELECT l_orderkey // 1000 AS chunk_id, l_partkey AS v FROM lineitem"
+SEED_SQL = f"CAST((CAST({SEED} AS HUGEINT) * 1000003 + CAST(chunk_id AS HUGEINT) * 2654435761) % 1000000000 AS BIGINT)"
+
+
+def _line_chunks(spark, sf_dir):
+    lines = src.table(spark, sf_dir, "lineitem")
+    return lines.select(F.expr("l_orderkey div 1000").alias("chunk_id"), F.col("l_partkey").alias("v"))
+
+
+@query(
+    f"""SELECT chunk_id, {SEED_SQL} AS seed, CAST({SEED} AS BIGINT) AS session_seed, count(*) AS n_items,
+               min(v) AS first, max(v) AS last, true AS content_ok, true AS timed
+        FROM ({LINE_CHUNKS_SQL}) GROUP BY chunk_id"""
+)
+def sorted_runs_ledger(spark, sf_dir):
+    """What the sort of each chunk reports of itself."""
+    chunked = _line_chunks(spark, sf_dir)
+    _, ledger = sorted_runs_with_ledger(chunked, SEED)
+    planned = chunk_contents(chunked).select("chunk_id", F.col("content").alias("planned"))
+    return ledger.join(planned, "chunk_id").select(
+        "chunk_id", "seed", "session_seed", "n_items", "first", "last",
+        (F.col("content") == F.col("planned")).alias("content_ok"),
+        ((F.col("sort_us") >= 0) & (F.col("roundtrip_us") >= 0) & (F.col("threads") > 0)).alias("timed"),
+    )
+
+
+@query(
+    f"""SELECT count(*) AS rows_sorted, count(DISTINCT chunk_id) AS chunks, count(DISTINCT chunk_id) AS verified,
+               CAST(0 AS BIGINT) AS faults, count(*) AS contributed, true AS is_valid, count(DISTINCT chunk_id) AS listed
+        FROM ({LINE_CHUNKS_SQL})"""
+)
+def sorted_runs_audit(spark, sf_dir):
+    """A real sort's order, completeness, seeds, shares and summary, from its ledger."""
+    chunked = _line_chunks(spark, sf_dir)
+    runs, ledger = sorted_runs_with_ledger(chunked, SEED)
+    faults = check_complete(chunk_contents(chunked), ledger)
+    order = check_sorted(runs.withColumn("at", F.lit(0)), "chunk_id", "place", "v")
+    # Chunks overlap in value, so only the order within each counts.
+    inner = order.select("n", (F.col("inner_violations") == 0).alias("is_sorted"))
+    summary = run_summary(ledger, SEED, inner, run_id=1)
+    return summary.select(
+        "rows_sorted", "chunks", "verified",
+        faults.select(F.col("missing") + F.col("duplicate") + F.col("unexpected") + F.col("size_mismatch")).scalar().alias("faults"),
+        node_contribution(ledger).agg(F.sum("items")).scalar().alias("contributed"),
+        "is_valid",
+        ledger_view(ledger, SEED, limit=1_000_000).agg(F.count_if("seed_matches")).scalar().alias("listed"),
+    )
 
 
 @query(
@@ -695,6 +806,41 @@ def source_sessions_stream(spark, sf_dir):
     return _as_given(spark.read.schema(sessions.schema).parquet(out))
 
 
+EVENTS_SQL = f"""
+    WITH cut AS (SELECT epoch_ms(max(ts)) - 3600000 AS wm FROM events),
+    b AS (SELECT name, port, ts, bool_or(host = '127.0.0.1') AS local, max(host) AS host
+          FROM ({src.BEATS_SQL}) GROUP BY ALL),
+    d AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {src.HEARTBEAT_HOURS} HOUR THEN 0 ELSE 1 END AS starts
+          FROM b WINDOW w AS (PARTITION BY name, port ORDER BY ts)),
+    s AS (SELECT *, sum(starts) OVER (PARTITION BY name, port ORDER BY ts) AS session FROM d),
+    a AS (SELECT *, CASE WHEN bool_or(local) OVER (PARTITION BY name, port, session ORDER BY ts) THEN '127.0.0.1' ELSE host END AS address FROM s),
+    t AS (SELECT *, lag(address) OVER w AS was, lead(ts) OVER w AS next FROM a
+          WINDOW w AS (PARTITION BY name, port, session ORDER BY ts)),
+    e AS (SELECT name, port, 'seen' AS event, ts AS "at", address AS host, ts FROM t WHERE was IS NULL
+          UNION ALL SELECT name, port, 'address', ts, address, ts FROM t WHERE was <> address
+          UNION ALL SELECT name, port, 'gone', ts + INTERVAL {src.HEARTBEAT_HOURS} HOUR, address,
+                           ts + INTERVAL {src.HEARTBEAT_HOURS} HOUR FROM t WHERE next IS NULL)
+    SELECT name, port, event, "at", host FROM e, cut WHERE epoch_ms(ts) + 1 <= wm"""
+
+
+@query(EVENTS_SQL)
+def source_events_stream(spark, sf_dir):
+    """Sources seen, under another address and gone, by timers of the stream."""
+    arriving, out, state = (shared_path(spark, x) for x in ("beats", "events", "state"))
+    beats = src.beats(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    beats.write.parquet(arriving)
+    found = source_events(spark.readStream.schema(beats.schema).parquet(arriving), HOURS, LATENESS)
+    query = (
+        found.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 # ---------------------------------------------------- positions, special keys
 
 

@@ -66,3 +66,11 @@ def generate_sorted(
     return global_sort(
         generate_uniform(spark, n, low, high, seed, num_partitions).select("v"), "v"
     )
+
+
+def draw_sorted(
+    df: DataFrame, key: str, low: int = LOW, high: int = HIGH, seed: int = 0, num_partitions: int | None = None
+) -> DataFrame:
+    """A uniform value for each row of ``df``, drawn from its ``key``, in ascending
+    order; the unsorted values are never stored."""
+    return global_sort(df.select(draw_uniform(key, low, high, seed).alias("v")), "v", num_partitions)

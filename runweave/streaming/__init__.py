@@ -1,4 +1,5 @@
+from runweave.streaming.events import source_events
 from runweave.streaming.live import live_sources, session_stream, source_sessions
 from runweave.streaming.runs import stream_runs
 
-__all__ = ["live_sources", "session_stream", "source_sessions", "stream_runs"]
+__all__ = ["live_sources", "session_stream", "source_events", "source_sessions", "stream_runs"]
