@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from runweave.llm import html_text, warc
 from runweave.llm.html_text import page_blocks, repeated_classes, suffix_array
 from runweave.llm.queries import op10_html_text
+from runweave.storage import cut_lineage
 
 PAGES = "page_id long, url string, html string, digest string, _key string, row_id long"
 
@@ -203,7 +204,7 @@ def test_copies_are_dealt_once_and_only_where_a_page_waits(spark):
     pages += [(100 + i, "http://free.example/", f"{menu}<article>story {i}</article>") for i in range(40)]
     pages += [(200 + i, "http://free.example/", "<p>words of a page that has copies here</p>") for i in range(30)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    rows = html_text._cut_pages(df).localCheckpoint()
+    rows = cut_lineage(html_text._cut_pages(df), "cut-pages")
     streams = html_text._streams(rows).collect()
     assert sorted((r.host, r.waits) for r in streams) == [("free.example", False), ("free.example", True)]
     got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
