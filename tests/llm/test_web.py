@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from base64 import b32encode
 
 import pytest
@@ -148,6 +149,50 @@ def test_no_article_is_lost(page, want):
     assert page_blocks(page) == want
 
 
+@pytest.mark.parametrize("names", ["class='user-comments'", "class='readerComments'", "class='comment-thread'", "id='commentlist'", "class='article-sidebar'", "class='ad slot'"])
+def test_comments_and_adverts_inside_an_article_go(names):
+    assert page_blocks(f"<article><p>a</p><div {names}>no<p>no</p></div><p>b</p></article>") == [(3, "a"), (0, "no"), (0, "no"), (3, "b")]
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p>a</p><p class='advert'>no<p>b</p></article>", [(3, "a"), (3, "b")]),
+        ("<article><p>a <span class='ad'>no <b>no</b></span> b</p></article>", [(3, "a b")]),
+        ("<article><ul><li>a<li class='sponsored'><p>no</p></li><li>b</ul></article>", [(3, "a"), (3, "b")]),
+        ("<article><p>a</p><article class='comment-body'><p>no</p></article></article>", [(3, "a"), (0, "no")]),
+        ("<article><pre>x <i class='hljs-comment'># kept</i></pre><h2 class='ad'>kept</h2></article>", [(3, "x # kept"), (3, "kept")]),
+        ("<article><div class='no-comments'>a</div><div class='ad-free'>b</div><div class='commentary'>c</div></article>", [(3, "a"), (3, "b"), (3, "c")]),
+        ("<div class='cookie-notice-overlay'>no</div><p>free", [(0, "no"), (1, "free")]),
+        (f"<div class='page-with-ads'>{ART}</div><div class='ads-layout'>{ART}</div>", [(3, "text"), (3, "text")]),
+        ("<p title=don't>it's</p>", [(1, "it's")]),
+        ("<p class=\"a>b</p><p>c</p>", [(1, "b"), (1, "c")]),
+        ("a < b <c", [(1, "a < b <c")]),
+        ("a<!-- <p>no", [(1, "a")]),
+        ("<p>a</p><script>if (a<b) no", [(1, "a")]),
+    ],
+)
+def test_names_and_broken_tags(page, want):
+    assert page_blocks(page) == want
+
+
+@pytest.mark.parametrize(
+    "part", ['<a href="', "<a ", "<svg><p>x", "<svg>", "<div>", "<!", "<title>", '<p class="a>t</p>', "<head>", "<select>", "<p class=ad>x", "<script>x</script>", "</p>", "<![CDATA["]
+)
+def test_pages_are_read_in_linear_time(part):
+    began = time.process_time()
+    page_blocks(part * (5_000_000 // len(part) // (1 if part in ('<a href="', "<a ", "<!", "<![CDATA[") else 4)))
+    assert time.process_time() - began < 10
+
+
+def test_repeated_rows_and_clashing_columns(spark, odd_pages):
+    clash = [F.lit("x").alias(c) for c in ("row_id", "host", "text", "loose", "stream", "n_chars")]
+    want = sorted(map(str, html_text.main_text(odd_pages).collect()))
+    twice = odd_pages.select("*", *clash)
+    got = sorted(map(str, html_text.main_text(twice.unionAll(twice)).collect()))
+    assert got == sorted(want * 2)
+
+
 def test_suffix_array_orders_by_tokens():
     rng = random.Random(1)
     tokens = [rng.randrange(1, 4) for _ in range(300)]
