@@ -6,6 +6,8 @@ from runweave.operators.chunks import (
     range_pivots,
 )
 from runweave.operators.ledger import chunk_contents, sorted_runs_with_ledger
+from runweave.operators.order_summary import check_summaries, merge_summaries, order_summaries
+from runweave.operators.rank_index import positions_of, rows_at, store_sorted
 from runweave.operators.ranges import assign_range, range_histogram
 from runweave.operators.reports import (
     append_run,
@@ -39,10 +41,10 @@ from runweave.operators.validate import (
 
 __all__ = [
     "add_run_sketches", "append_run", "apportion", "assign_chunks", "assign_range", "audit_seeds",
-    "check_complete", "check_conserved", "check_order", "check_sorted", "chunk_contents", "chunk_manifest",
+    "check_complete", "check_conserved", "check_order", "check_sorted", "check_summaries", "chunk_contents", "chunk_manifest",
     "chunk_report", "chunk_size", "compare_runs", "global_position",
-    "global_sort", "index_rows", "ledger_view", "merge_runs",
-    "node_contribution", "position_in_group", "preview", "range_histogram",
-    "range_merge", "range_pivots", "read_runs", "run_sketches", "run_summary", "scaling_curve", "select_ranks",
-    "sketch_pivots", "sorted_runs", "sorted_runs_with_ledger", "strided_values",
+    "global_sort", "index_rows", "ledger_view", "merge_runs", "merge_summaries",
+    "node_contribution", "order_summaries", "position_in_group", "positions_of", "preview", "range_histogram",
+    "range_merge", "range_pivots", "read_runs", "rows_at", "run_sketches", "run_summary", "scaling_curve", "select_ranks",
+    "sketch_pivots", "sorted_runs", "sorted_runs_with_ledger", "store_sorted", "strided_values",
 ]

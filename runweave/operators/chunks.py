@@ -114,7 +114,8 @@ def apportion(
 
     ``weighted``: by weight, halves rounded to even; ``equal``: the whole
     quotient.  The row last in ``order`` (unique within the group) takes what
-    is left, so shares always add up to ``total``.
+    is left, so shares always add up to ``total``.  A null weight is 0; a group whose
+    weights add up to 0 divides equally.
     """
     totals = df.groupBy(group).agg(
         F.count("*").alias("__rows"),
@@ -129,7 +130,9 @@ def apportion(
         return rows.select(*df.columns, F.when(last, rest).otherwise(each).alias("share"))
     if method != "weighted":
         raise ValueError("method is 'weighted' or 'equal'")
-    share = F.rint(F.lit(total) * (F.col(weight) / F.col("__weights"))).cast("bigint")
+    each = F.expr(f"{total}L div __rows")
+    weighted = F.rint(F.lit(total) * (F.coalesce(weight, F.lit(0)) / F.nullif("__weights", F.lit(0)))).cast("bigint")
+    share = F.coalesce(weighted, each)
     others = rows.where(~last).select(*df.columns, share.alias("share"))
     given = rows.groupBy(group).agg(
         F.coalesce(F.sum(F.when(~last, share)), F.lit(0)).alias("__given")

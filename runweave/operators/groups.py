@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from runweave.storage import cut_lineage
 
-# Group tables up to this many rows are broadcast.
+# Group tables up to this many rows and bytes of group names are broadcast.
 MAX_BROADCAST_GROUPS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 # Beyond it: at most this many groups can each hold more than
 # 1/HOT_GROUPS of the rows, and only those are broadcast.
 HOT_GROUPS = 10_000
@@ -31,7 +32,9 @@ def attach_group_totals(
     which no group is large.  The totals are worked out once.
     """
     totals = cut_lineage(totals, "totals")
-    if totals.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
+    named = F.coalesce(F.sum(F.octet_length(F.col(group).cast("string"))), F.lit(0))
+    size = totals.agg(F.count("*").alias("groups"), named.alias("bytes")).first()
+    if size["groups"] <= MAX_BROADCAST_GROUPS and size["bytes"] <= MAX_BROADCAST_BYTES:
         return join_totals(df, F.broadcast(totals), group, how)
     n_rows = totals.agg(F.sum(rows)).first()[0]
     is_hot = F.col(rows) * HOT_GROUPS > F.lit(n_rows)

@@ -24,6 +24,7 @@ from runweave.operators import (
     check_conserved,
     check_order,
     check_sorted,
+    check_summaries,
     chunk_contents,
     chunk_manifest,
     compare_runs,
@@ -33,11 +34,14 @@ from runweave.operators import (
     ledger_view,
     merge_runs,
     node_contribution,
+    order_summaries,
+    positions_of,
     preview,
     range_histogram,
     range_merge,
     range_pivots,
     read_runs,
+    rows_at,
     run_sketches,
     run_summary,
     scaling_curve,
@@ -45,6 +49,7 @@ from runweave.operators import (
     sketch_pivots,
     sorted_runs,
     sorted_runs_with_ledger,
+    store_sorted,
 )
 from runweave.plans import inputs as src
 from runweave.sources import (
@@ -708,6 +713,22 @@ def sorted_runs_audit(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH c AS (SELECT chunk_id, min(v) AS first, max(v) AS last, count(*) AS n FROM ({LINE_CHUNKS_SQL}) GROUP BY chunk_id),
+    s AS (SELECT n, lag(last) OVER (ORDER BY chunk_id) > first AS drop FROM c)
+    SELECT CAST(sum(n) AS BIGINT) AS n, CAST(0 AS BIGINT) AS inner_violations,
+           count(*) FILTER (WHERE drop) AS boundary_violations, count(*) FILTER (WHERE drop) = 0 AS is_sorted FROM s"""
+)
+def order_summaries_appended(spark, sf_dir):
+    """Order of chunks that were sorted in two goes: each is summarised as it comes,
+    and the whole is judged from the summaries."""
+    chunked, kept = _line_chunks(spark, sf_dir), shared_path(spark, "summaries")
+    for go in (F.col("chunk_id") % 2 == 0, F.col("chunk_id") % 2 != 0):
+        runs, _ = sorted_runs_with_ledger(chunked.where(go), SEED)
+        order_summaries(runs, "chunk_id", "place", "v").write.mode("append").parquet(kept)
+    return check_summaries(spark.read.parquet(kept), "chunk_id")
+
+
 @query(
     f"""WITH h AS ({src.HISTORY_SQL}),
     r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, mode ORDER BY started_at DESC, run_id DESC) AS rn FROM h),
@@ -841,6 +862,34 @@ def source_events_stream(spark, sf_dir):
     return spark.read.schema(found.schema).parquet(out).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+# ------------------------------------------------------- rank and select
+
+
+@query(
+    """WITH r AS (SELECT l_partkey AS v, row_number() OVER (ORDER BY l_partkey) - 1 AS pos FROM lineitem)
+    SELECT w.v, min(pos) AS pos, count(pos) AS n
+    FROM (SELECT DISTINCT o_custkey AS v FROM orders) w LEFT JOIN r ON r.v = w.v GROUP BY w.v"""
+)
+def positions_of_keys(spark, sf_dir):
+    """Where each customer's number stands among the part keys of a stored sort."""
+    path = shared_path(spark, "index")
+    store_sorted(src.part_keys(spark, sf_dir), "v", path, RANGES)
+    wanted = src.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("v"))
+    return positions_of(spark, path, wanted, "v")
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey, o_custkey AS v, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)
+    SELECT pos, o_orderkey, v FROM r WHERE pos IN (SELECT l_partkey FROM lineitem)"""
+)
+def rows_at_positions(spark, sf_dir):
+    """The orders at the positions that the part keys name, by a stored sort."""
+    path = shared_path(spark, "index")
+    store_sorted(src.order_values(spark, sf_dir), "o_orderkey", path, RANGES)
+    wanted = src.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pos"))
+    return rows_at(spark, path, wanted)
+
+
 # ---------------------------------------------------- positions, special keys
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from runweave.operators.groups import attach_group_totals
@@ -78,8 +80,23 @@ def write_numbers(df: DataFrame, path: str, col: str = "v", mode: str = "overwri
     """Write one value per line, in the order of ``df``'s partitions: the name
     order of the part files is the order of the values.  Returns the number of
     lines; an empty table leaves a file with a single newline.  What was at
-    ``path`` is replaced, unless ``mode`` (as of a DataFrame writer) says otherwise.
+    ``path`` is replaced, unless ``mode`` (as of a DataFrame writer) says otherwise:
+    the new files are written beside it and take its place when all are there, so a
+    job that dies leaves the old ones, and ``df`` may read what it replaces.
     """
+    spark = df.sparkSession
+    if mode != "overwrite":
+        return _write_lines(df, path, col, mode)
+    staged, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    try:
+        n = _write_lines(df, staged, col, "error")
+        _replace(spark, staged, path, old)
+    finally:
+        _file_system(spark, staged)[0].delete(_hadoop_path(spark, staged), True)
+    return n
+
+
+def _write_lines(df: DataFrame, path: str, col: str, mode: str) -> int:
     seen = Observation()
     lines = df.select(F.col(col).cast("string").alias("value"))
     lines.observe(seen, F.count("*").alias("n")).write.mode(mode).text(path)
@@ -87,3 +104,27 @@ def write_numbers(df: DataFrame, path: str, col: str = "v", mode: str = "overwri
     if n == 0:
         df.sparkSession.createDataFrame([("",)], "value string").write.mode("append").text(path)
     return n
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = _hadoop_path(spark, path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _replace(spark: SparkSession, staged: str, path: str, old: str) -> None:
+    """Put ``staged`` in the place of ``path``; what was there comes back if that fails."""
+    files, target = _file_system(spark, path)
+    new, aside = _hadoop_path(spark, staged), _hadoop_path(spark, old)
+    had = files.exists(target)
+    if had and not files.rename(target, aside):
+        raise OSError(f"cannot replace {path}")
+    if not files.rename(new, target):
+        if had:
+            files.rename(aside, target)
+        raise OSError(f"cannot write {path}")
+    if had:
+        files.delete(aside, True)
