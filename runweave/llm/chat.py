@@ -198,7 +198,11 @@ def _states(role: int, lines: int) -> list[int]:
 
 def fit(messages: DataFrame, learn: Column) -> Model | None:
     """Count over all messages where ``learn`` holds.  Only counts, as many as
-    pairs of states and of state and observation, reach the driver."""
+    pairs of states and of state and observation, reach the driver.
+
+    A transition from one stretch into the next counts like any other; none is
+    counted over a stretch without messages.  Messages without a turn come first in
+    their conversation, which still has one start."""
     known = messages.where(learn & F.col("role").isNotNull())
     roles = sorted(r[0] for r in known.select("role").distinct().collect())
     if not roles:
@@ -206,27 +210,46 @@ def fit(messages: DataFrame, learn: Column) -> Model | None:
     number = {r: i for i, r in enumerate(roles)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds, a, b, n, convs, stretches = zip(*rows) if rows else ((),) * 6
+            columns = [pa.array(kinds, pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32())]
+            columns += [pa.array(x, pa.int64()) for x in (n, convs, stretches)]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "a", "b", "n", "conv_id", "stretch"])
+
         counts: dict[tuple[str, int, int], int] = {}
-        for _, stretch, group in _groups(batches):
-            last = None
+        ends: list[tuple] = []
+        for conv, stretch, group in _groups(batches):
+            first = last = None
             for row in group:
                 states = _states(number[row["role"]], len(row["seen"]))
                 for state, seen in zip(states, row["seen"]):
-                    if last is not None or stretch <= 0:
-                        way = ("start", 0, state) if last is None else ("move", last, state)
-                        counts[way] = counts.get(way, 0) + 1
+                    if last is None:
+                        first = state
+                    else:
+                        counts["move", last, state] = counts.get(("move", last, state), 0) + 1
                     counts["seen", state, seen] = counts.get(("seen", state, seen), 0) + 1
                     last = state
-        kinds, a, b = zip(*counts) if counts else ((), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds, pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(list(counts.values()), pa.int64())],
-            ["kind", "a", "b", "n"],
-        )
-
-    found = _stretches(known, ["role", "seen"]).mapInArrow(run, "kind string, a int, b int, n long")
+            if last is not None:
+                ends.append(("ends", first, last, 1, conv, stretch))
+            if len(ends) >= 10_000:
+                yield out(ends)
+                ends = []
+        yield out(ends + [(*what, n, None, None) for what, n in counts.items()])
+
+    schema = "kind string, a int, b int, n long, conv_id long, stretch long"
+    found = cut_lineage(_stretches(known, ["role", "seen"]).mapInArrow(run, schema), "counts")
+    ends = found.where("kind = 'ends'").select("conv_id", "stretch", "a", "b")
+    before = ends.select(F.col("conv_id").alias("_conv"), (F.col("stretch") + 1).alias("_next"), F.col("b").alias("_last"))
+    # One row per stretch on both sides.
+    met = ends.join(before, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("stretch") == F.col("_next")), "left")
+    over = F.col("_last").isNotNull()
+    borders = met.where(over | (F.col("stretch") <= 0)).select(
+        F.when(over, "move").otherwise("start").alias("kind"), F.coalesce("_last", F.lit(0)).alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("n")
+    )
+    counted = found.where("kind <> 'ends'").select("kind", "a", "b", "n").unionByName(borders)
     starts, moves = np.zeros(2 * len(roles)), np.zeros((2 * len(roles),) * 2)
     seen = np.zeros((2 * len(roles), int(np.prod(SHAPE))))
-    for r in found.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():
+    for r in counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():
         if r.kind == "start":
             starts[r.b] += r.n
         else:

@@ -35,6 +35,8 @@ from runweave.storage import cut_lineage, shared_path
 
 # Bytes of html that a file should hold about.
 FILE_BYTES = 8 << 20
+# Tasks that write; beyond them each writes several files.
+MAX_TASKS = 65_536
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,16 +63,17 @@ def _key() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest")
 
 
-def revisits(pages: DataFrame) -> tuple[DataFrame, int]:
-    """``_key, first_id`` of the pages that revisit another, and all bytes of html."""
+def revisits(pages: DataFrame) -> tuple[DataFrame, int, int]:
+    """``_key, first_id`` of the pages that revisit another, the number of pages and
+    all bytes of html."""
     html = F.coalesce("html", F.lit(""))
     facts = pages.select(F.col("page_id").cast("long"), base32_sha1(html).alias("digest"), F.octet_length(html).alias("n"))
     facts = cut_lineage(facts.withColumn("spread", F.monotonically_increasing_id()), "payloads")
     firsts = facts.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
     firsts = cut_lineage(firsts.where("rows > 1").drop("rows"), "firsts")
-    total = facts.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    n_pages, total = facts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))).first()
     met = attach_by_key(facts, firsts, "digest", "spread").where("first_id is not null and not (page_id <=> first_id)")
-    return met.select(_key().alias("_key"), "first_id").distinct(), total
+    return met.select(_key().alias("_key"), "first_id").distinct(), n_pages, total
 
 
 def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
@@ -81,11 +84,17 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write the archives of ``pages``; the records of a page are in one file."""
-    seen, total = revisits(pages)
+    """Write the archives of ``pages``; the records of a page are in one file.
+
+    A file is cut at four times the pages that ``FILE_BYTES`` hold on average, so
+    that neither the bound on tasks nor equal pages without an id, which meet in
+    one task, make files grow.
+    """
+    seen, n_pages, total = revisits(pages)
+    file_pages = max(1, 4 * n_pages * FILE_BYTES // max(1, total))
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("_key", _key())
-    rows = rows.repartition(max(1, -(-total // FILE_BYTES)), "_key").join(seen, "_key", "left")
+    rows = rows.repartition(min(MAX_TASKS, max(1, -(-total // FILE_BYTES))), "_key").join(seen, "_key", "left")
     for kind in ("request", "answer", "metadata"):
         rows = rows.withColumn(kind, F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")))
     target = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
@@ -132,7 +141,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         ),
     )
     archive = rows.select(F.concat_ws(GAP, request, answer, metadata).alias("value"))
-    archive.write.text(path, compression="gzip", lineSep=GAP)
+    archive.write.option("maxRecordsPerFile", file_pages).text(path, compression="gzip", lineSep=GAP)
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

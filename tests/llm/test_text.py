@@ -241,6 +241,30 @@ def test_markers(line, kind, rest):
     assert chat.marker_of(line) == (kind, rest)
 
 
+def test_every_transition_counts_once(spark, monkeypatch):
+    """Also those over borders of stretches, of the null conversation and after a null turn."""
+    rng = random.Random(5)
+    talks = {1: [*range(257)], 2: [None, *range(3)], None: [*range(300)], 3: [7], 4: [None]}
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["one line", "two\nlines"])) for c, turns in talks.items() for t in turns]
+    starts, moves = np.zeros(4), np.zeros((4, 4))
+    for conv in talks:
+        line = []
+        for c, _, role, text in rows:
+            if c == conv:
+                state = 2 * ["assistant", "user"].index(role)
+                line += [state] + [state + 1] * text.count("\n")
+        starts[line[0]] += 1
+        for a, b in zip(line, line[1:]):
+            moves[a, b] += 1
+    got = []
+    monkeypatch.setattr(chat, "fit_counts", lambda *found: got.append(found))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    chat.fit(chat._observed(df), F.lit(True))
+    roles, found_starts, found_moves, seen = got[0]
+    assert roles == ["assistant", "user"] and seen.sum() == moves.sum() + starts.sum()
+    assert (found_starts == starts).all() and (found_moves == moves).all()
+
+
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string, seen string, stretch int"
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", "hi?" if t % 2 == 0 else "a longer answer.\n" * 9, "s", 1) for t in range(600)]

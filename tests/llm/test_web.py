@@ -70,6 +70,21 @@ def test_archives_are_warc_files(spark, odd_pages, tmp_path):
     assert all(f["warc-profile"] == warc.PROFILE for f, _ in records if f["warc-type"] == "revisit")
 
 
+def test_files_stay_small_whatever_the_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1_000)
+    monkeypatch.setattr(warc, "MAX_TASKS", 2)
+    # A third of the pages are equal and have no id.
+    html = F.when(F.col("id") % 3 == 0, "<p>same</p>").otherwise(F.concat(F.lit("<p>"), F.repeat(F.col("id").cast("string"), 20)))
+    pages = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("page_id"), F.lit("http://a.example/").alias("url"), html.alias("html"))
+    path = tmp_path / "warc"
+    warc.write_archives(pages, str(path))
+    sizes = [len([1 for f, _ in warc.parse_records(gzip.decompress(f.read_bytes())) if f["warc-type"] == "metadata"]) for f in path.glob("*.gz")]
+    assert sum(sizes) == 600 and len({f.name[:10] for f in path.glob("*.gz")}) <= 2
+    total = sum(len(r.html) for r in pages.collect())
+    assert max(sizes) <= 4 * 600 * 1_000 // total and len(sizes) > 2
+    assert warc.assemble(warc.read_archives(spark, str(path))).count() == 600
+
+
 def test_no_pages(spark, odd_pages):
     assert warc.captures(odd_pages.where("false")).count() == 0
     assert html_text.main_text(odd_pages.where("false")).count() == 0
