@@ -19,6 +19,16 @@ from runweave.operators.reports import (
     run_summary,
     scaling_curve,
 )
+from runweave.operators.run_store import (
+    add_run,
+    compact_runs,
+    merge_stored,
+    merge_stored_ranges,
+    run_manifest,
+    snapshots,
+    stored_rows,
+    vacuum_runs,
+)
 from runweave.operators.selection import select_ranks, strided_values
 from runweave.operators.sketches import add_run_sketches, run_sketches, sketch_pivots
 from runweave.operators.sorting import (
@@ -40,11 +50,11 @@ from runweave.operators.validate import (
 )
 
 __all__ = [
-    "add_run_sketches", "append_run", "apportion", "assign_chunks", "assign_range", "audit_seeds",
+    "add_run", "add_run_sketches", "append_run", "apportion", "assign_chunks", "assign_range", "audit_seeds",
     "check_complete", "check_conserved", "check_order", "check_sorted", "check_summaries", "chunk_contents", "chunk_manifest",
-    "chunk_report", "chunk_size", "compare_runs", "global_position",
-    "global_sort", "index_rows", "ledger_view", "merge_runs", "merge_summaries",
+    "chunk_report", "chunk_size", "compact_runs", "compare_runs", "global_position",
+    "global_sort", "index_rows", "ledger_view", "merge_runs", "merge_stored", "merge_stored_ranges", "merge_summaries",
     "node_contribution", "order_summaries", "position_in_group", "positions_of", "preview", "range_histogram",
-    "range_merge", "range_pivots", "read_runs", "rows_at", "run_sketches", "run_summary", "scaling_curve", "select_ranks",
-    "sketch_pivots", "sorted_runs", "sorted_runs_with_ledger", "store_sorted", "strided_values",
+    "range_merge", "range_pivots", "read_runs", "rows_at", "run_manifest", "run_sketches", "run_summary", "scaling_curve", "select_ranks",
+    "sketch_pivots", "snapshots", "sorted_runs", "sorted_runs_with_ledger", "store_sorted", "stored_rows", "strided_values", "vacuum_runs",
 ]

@@ -33,6 +33,8 @@ from runweave.operators import (
     index_rows,
     ledger_view,
     merge_runs,
+    merge_stored,
+    merge_stored_ranges,
     node_contribution,
     order_summaries,
     positions_of,
@@ -61,7 +63,15 @@ from runweave.sources import (
 )
 from runweave.sources.generate import HIGH, LOW, PRIME, ROUNDS, SECOND_SEED
 from runweave.storage import shared_path
-from runweave.streaming import live_sources, session_stream, source_events, source_sessions, stream_runs
+from runweave.streaming import (
+    completeness_stream,
+    live_sources,
+    session_stream,
+    source_events,
+    source_sessions,
+    stream_runs,
+    stream_to_store,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -773,6 +783,33 @@ def stream_runs_merged(spark, sf_dir):
     return index_rows(merge_runs(runs, "v", spark=spark).select("v"))
 
 
+# Batches of a store, and how many runs of a level become one of the next.
+BATCHES, FANOUT = 4, 2
+
+
+def _run_store(spark, sf_dir):
+    """The part keys as they arrive: a run per file, merged where a level is full."""
+    arriving, path, state = (shared_path(spark, x) for x in ("arriving", "store", "state"))
+    src.part_keys(spark, sf_dir).repartition(BATCHES, "v").write.parquet(arriving)
+    stream_to_store(spark, arriving, path, state, "v bigint", max_files=1, fanout=FANOUT)
+    return path
+
+
+@query(SORTED_SQL)
+def run_store_merged(spark, sf_dir):
+    """All runs of a store that took up files one by one, in order."""
+    return index_rows(merge_stored(spark, _run_store(spark, sf_dir), "v"))
+
+
+@query(
+    f"""SELECT row_number() OVER (ORDER BY l_partkey) - 1 AS pos, l_partkey AS v, CAST({BUCKET_SQL} AS INT) AS bucket
+        FROM lineitem WHERE {BUCKET_SQL} IN (2, 4)"""
+)
+def run_store_ranges(spark, sf_dir):
+    """Two ranges of a store, from the files and row groups that reach into them."""
+    return index_rows(merge_stored_ranges(spark, _run_store(spark, sf_dir), "v", PIVOTS, [2, 4]))
+
+
 SESSIONS_SQL = f"""
 WITH b AS ({src.BEATS_SQL}),
 g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {src.HEARTBEAT_HOURS} HOUR THEN 0 ELSE 1 END AS starts
@@ -862,6 +899,48 @@ def source_events_stream(spark, sf_dir):
     return spark.read.schema(found.schema).parquet(out).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+# Planned chunks and their results: some never come back, some late, some twice, some
+# unplanned or with other sizes.
+WITHIN_DAYS, LATE_HOURS = 3, 12
+PLAN_SQL = """
+SELECT o_orderkey AS chunk_id, CAST(floor(o_totalprice) AS BIGINT) AS n_items, CAST(o_orderdate AS TIMESTAMP) AS issued FROM orders"""
+RETURNED_SQL = """
+SELECT chunk_id + CASE WHEN chunk_id % 89 = 0 THEN 1000000000 ELSE 0 END AS chunk_id,
+       n_items + CASE WHEN chunk_id % 53 = 0 THEN 1 ELSE 0 END AS n_items,
+       issued + (chunk_id % 5) * INTERVAL '1' DAY AS returned
+FROM base WHERE chunk_id % 97 <> 0
+UNION ALL SELECT chunk_id, n_items, issued + INTERVAL '1' DAY AS returned FROM base WHERE chunk_id % 61 = 0"""
+FINDINGS_SQL = f"""
+WITH base AS ({PLAN_SQL}), got AS ({RETURNED_SQL}),
+cut AS (SELECT least((SELECT max(issued) FROM base), (SELECT max(returned) FROM got)) - INTERVAL {LATE_HOURS} HOUR AS wm),
+j AS (SELECT base.chunk_id AS planned, got.chunk_id AS returned_id, base.n_items AS planned_items, got.n_items AS n_items, issued, returned
+      FROM base FULL JOIN got ON base.chunk_id = got.chunk_id AND returned >= issued AND returned <= issued + INTERVAL {WITHIN_DAYS} DAY)
+SELECT coalesce(planned, returned_id) AS chunk_id, planned_items, n_items,
+       CASE WHEN returned IS NULL THEN 'missing' WHEN issued IS NULL THEN 'unexpected'
+            WHEN planned_items = n_items THEN 'done' ELSE 'size_mismatch' END AS finding
+FROM j, cut
+WHERE (issued IS NOT NULL AND returned IS NOT NULL)
+   OR (returned IS NULL AND issued + INTERVAL {WITHIN_DAYS} DAY < wm) OR (issued IS NULL AND returned < wm)"""
+
+
+@query(FINDINGS_SQL)
+def completeness_findings_stream(spark, sf_dir):
+    """What a stream of results tells of the planned chunks until all have arrived."""
+    out, state = (shared_path(spark, x) for x in ("findings", "state"))
+    plan = src.derived(spark, sf_dir, "orders", PLAN_SQL)
+    plan = plan.withColumn("issued", F.col("issued").cast("timestamp"))
+    got = spark.sql(RETURNED_SQL.replace("FROM base", "FROM {base}"), base=plan)
+    streams = []
+    for table in (plan, got):
+        arriving = shared_path(spark, "arriving")
+        table.write.parquet(arriving)
+        streams.append(spark.readStream.schema(table.schema).parquet(arriving))
+    found = completeness_stream(*streams, timedelta(days=WITHIN_DAYS), timedelta(hours=LATE_HOURS))
+    writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).select("chunk_id", "planned_items", "n_items", "finding")
+
+
 # ------------------------------------------------------- rank and select
 
 

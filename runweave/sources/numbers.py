@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from runweave.operators.groups import attach_group_totals
+from runweave.storage import file_system
 
 #: Columns that restore the order of lines across files and file splits.
 LINE_ORDER = ["src_file", "src_block", "src_row"]
@@ -92,7 +93,8 @@ def write_numbers(df: DataFrame, path: str, col: str = "v", mode: str = "overwri
         n = _write_lines(df, staged, col, "error")
         _replace(spark, staged, path, old)
     finally:
-        _file_system(spark, staged)[0].delete(_hadoop_path(spark, staged), True)
+        files, left = file_system(spark, staged)
+        files.delete(left, True)
     return n
 
 
@@ -106,19 +108,10 @@ def _write_lines(df: DataFrame, path: str, col: str, mode: str) -> int:
     return n
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = _hadoop_path(spark, path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def _replace(spark: SparkSession, staged: str, path: str, old: str) -> None:
     """Put ``staged`` in the place of ``path``; what was there comes back if that fails."""
-    files, target = _file_system(spark, path)
-    new, aside = _hadoop_path(spark, staged), _hadoop_path(spark, old)
+    files, target = file_system(spark, path)
+    new, aside = (file_system(spark, p)[1] for p in (staged, old))
     had = files.exists(target)
     if had and not files.rename(target, aside):
         raise OSError(f"cannot replace {path}")

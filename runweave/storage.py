@@ -13,8 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-# Paths handed out and not yet released.
-_handed_out: list[str] = []
+# Paths handed out and not yet released, by the session they were made for.
+_handed_out: dict[int, list[str]] = {}
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -27,7 +27,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="runweave-")
         spark.conf.set(CHECKPOINT_CONF, base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _handed_out.append(path)
+    _handed_out.setdefault(_session(spark), []).append(path)
     return path
 
 
@@ -38,15 +38,26 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _session(spark: SparkSession) -> int:
+    """What tells sessions apart, also when Python holds two objects of one."""
+    return spark._jsparkSession.hashCode() if isinstance(spark, SparkSession) else id(spark)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of ``path``, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables made so far and return how many there were.
+    """Delete the intermediate tables made so far for this session and return how
+    many there were; those of other sessions stay.
 
     For callers who have written or collected their results: DataFrames that were
     returned before can no longer be read afterwards.
     """
-    conf = spark._jsc.hadoopConfiguration()
     gone = 0
-    while _handed_out:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+    for path in _handed_out.pop(_session(spark), []):
+        files, at = file_system(spark, path)
+        gone += bool(files.delete(at, True))
     return gone

@@ -44,9 +44,17 @@ def test_cut_rows_are_fixed(spark):
 
 
 def test_released_tables_are_gone(spark, monkeypatch):
-    monkeypatch.setattr("runweave.storage._handed_out", [])
+    monkeypatch.setattr("runweave.storage._handed_out", {})
     cut = cut_lineage(spark.range(10), "kept")
     path = cut.inputFiles()[0]
     assert cut.count() == 10 and release(spark) == 1 and release(spark) == 0
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_tables_of_other_sessions_stay(spark, monkeypatch):
+    monkeypatch.setattr("runweave.storage._handed_out", {})
+    other = spark.newSession()
+    mine, theirs = cut_lineage(spark.range(10), "mine"), cut_lineage(other.range(7), "theirs")
+    assert mine.count() == 10 and release(spark) == 1
+    assert theirs.count() == 7 and release(other) == 1
