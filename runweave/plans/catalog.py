@@ -55,13 +55,15 @@ from runweave.operators import (
 )
 from runweave.plans import inputs as src
 from runweave.sources import (
+    draw_shares,
     draw_sorted,
     draw_uniform,
     number_lines,
+    read_number_files,
     read_numbers,
     write_numbers,
 )
-from runweave.sources.generate import HIGH, LOW, PRIME, ROUNDS, SECOND_SEED
+from runweave.sources.generate import HIGH, LOW, PRIME, ROUNDS, SECOND_SEED, SHARE_LIMIT
 from runweave.storage import shared_path
 from runweave.streaming import (
     completeness_stream,
@@ -300,15 +302,17 @@ def chunk_manifest_rows(spark, sf_dir):
 TOTAL = 1_000_003
 
 
-@query(
-    f"""WITH s AS ({src.SHARES_SQL}),
+def _shares_sql(total: str) -> str:
+    return f"""WITH s AS ({src.SHARES_SQL}),
     w AS (SELECT *, sum(weight) OVER (PARTITION BY grp) AS ws, max(ord) OVER (PARTITION BY grp) AS la FROM s),
     r AS (SELECT *, CASE WHEN ord < la THEN
-            CAST(round_even({TOTAL} * (weight / CAST(ws AS DOUBLE)), 0) AS BIGINT) END AS part FROM w)
+            CAST(round_even({total} * (weight / CAST(ws AS DOUBLE)), 0) AS BIGINT) END AS part FROM w)
     SELECT grp, ord, weight,
-           CAST(coalesce(part, {TOTAL} - coalesce(sum(part) OVER (PARTITION BY grp), 0)) AS BIGINT) AS share
+           CAST(coalesce(part, {total} - coalesce(sum(part) OVER (PARTITION BY grp), 0)) AS BIGINT) AS share
     FROM r"""
-)
+
+
+@query(_shares_sql(str(TOTAL)))
 def apportion_weighted(spark, sf_dir):
     return apportion(src.shares(spark, sf_dir), "grp", "ord", "weight", TOTAL)
 
@@ -362,6 +366,30 @@ def number_file_rejected(spark, sf_dir):
     return read_numbers(spark, _mixed_lines(spark, sf_dir), mode="permissive")[1]
 
 
+# A file per customer number modulo 20; every fifth has lines that are no numbers.
+FILES, NO_NUMBER = 20, "o_custkey % 5 = 0 AND o_orderkey % 3 = 0"
+
+
+@query(
+    f"""WITH lines AS (SELECT o_custkey % {FILES} AS k, CASE WHEN {NO_NUMBER} THEN concat(CAST(o_orderkey AS VARCHAR), 'x')
+                        ELSE CAST(o_orderkey AS VARCHAR) END AS line, {NO_NUMBER} AS bad FROM orders)
+    SELECT k, CASE WHEN bool_or(bad) THEN 'bad' ELSE 'good' END AS status,
+           CASE WHEN bool_or(bad) THEN 0 ELSE count(*) END AS numbers, count(*) FILTER (WHERE bad) AS rejected,
+           CASE WHEN bool_or(bad) THEN CAST(0 AS BIGINT) ELSE CAST(sum(try_cast(line AS BIGINT)) AS BIGINT) END AS total
+    FROM lines GROUP BY k"""
+)
+def number_files_judged(spark, sf_dir):
+    """Per file: good or bad, how many numbers it gives and their sum."""
+    line = F.expr(f"CASE WHEN {NO_NUMBER} THEN concat(CAST(o_orderkey AS STRING), 'x') ELSE CAST(o_orderkey AS STRING) END")
+    path = shared_path(spark, "number-files")
+    orders = src.table(spark, sf_dir, "orders").select(F.expr(f"o_custkey % {FILES}").alias("k"), line.alias("value"))
+    orders.repartition(RANGES, "k").write.partitionBy("k").text(path)
+    numbers, report = read_number_files(spark, path)
+    k = F.regexp_extract("file", "/k=([0-9]+)/", 1).cast("bigint").alias("k")
+    sums = numbers.groupBy("file").agg(F.sum("v").alias("total"))
+    return report.join(sums, "file", "left").select(k, "status", "numbers", "rejected", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"))
+
+
 # ------------------------------------------------------------- generators
 
 
@@ -428,6 +456,24 @@ def generate_sorted_audit(spark, sf_dir):
     return index_rows(draw_sorted(lines, "k", seed=SEED))
 
 
+SHARED_SQL = _shares_sql("(SELECT count(*) // 10 FROM orders)")
+
+
+@query(
+    _drawn_sql("keys", "k").replace(
+        "WITH ",
+        f"WITH shares AS ({SHARED_SQL}), keys AS (SELECT ord * {SHARE_LIMIT} + unnest(range(share)) AS k FROM shares), ",
+        1,
+    )
+    + f" SELECT row_number() OVER (ORDER BY key // {SHARE_LIMIT}, v) - 1 AS pos, key // {SHARE_LIMIT} AS ord, v FROM drawn"
+)
+def draw_shares_sorted(spark, sf_dir):
+    """Numbers made by the suppliers of each nation in shares by weight, sorted."""
+    total = src.table(spark, sf_dir, "orders").count() // 10
+    shares = apportion(src.shares(spark, sf_dir), "grp", "ord", "weight", total)
+    return index_rows(draw_shares(shares, "ord", seed=SEED))
+
+
 # ---------------------------------------------------------------- scalars
 
 WIDE = "o_orderkey * 1000003"

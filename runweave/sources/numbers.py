@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from runweave.operators.groups import attach_group_totals
-from runweave.storage import file_system
+from runweave.storage import cut_lineage, file_system
 
 #: Columns that restore the order of lines across files and file splits.
 LINE_ORDER = ["src_file", "src_block", "src_row"]
@@ -15,6 +16,8 @@ LINE_ORDER = ["src_file", "src_block", "src_row"]
 MARGIN = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
 # What is left must be digits; a cast alone would forgive control characters.
 INTEGER = r"^[+-]?[0-9]+$"
+# Names of local files come with and without their empty host.
+EMPTY_HOST = r"^([^:/]+):///"
 
 
 def read_numbers(
@@ -35,12 +38,7 @@ def read_numbers(
             F.monotonically_increasing_id().alias(LINE_ORDER[2]),
         ]
     kept = LINE_ORDER if line_order else []
-    text = spark.read.text(path).select(F.regexp_replace("value", MARGIN, "").alias("line"), *order)
-    lines = text.where(F.col("line") != "").select(
-        "line",
-        F.when(F.col("line").rlike(INTEGER), F.expr("try_cast(line AS bigint)")).alias("v"),
-        *kept,
-    )
+    lines = _parsed(spark, path, order, kept)
     good = F.col("v").isNotNull()
     if mode == "permissive":
         return lines.where(good).select("v", *kept), lines.where(~good).select("line", *kept)
@@ -51,6 +49,51 @@ def read_numbers(
     return lines.where(F.when(good, True).otherwise(bad)).select("v", *kept)
 
 
+def _parsed(spark: SparkSession, path: str, order: list, kept: list[str]) -> DataFrame:
+    """Lines that are not blank, with their number or null."""
+    text = spark.read.text(path).select(F.regexp_replace("value", MARGIN, "").alias("line"), *order)
+    number = F.when(F.col("line").rlike(INTEGER), F.expr("try_cast(line AS bigint)")).alias("v")
+    return text.where(F.col("line") != "").select("line", number, *kept)
+
+
+def read_number_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Numbers of the good files of ``path``, file by file, and a report.
+
+    A file with a line that is no number gives nothing; one without any line that
+    is not blank is ``blank``.  Numbers are ``file, v``; the report has a row per file:
+    ``file, status`` (``good``, ``blank``, ``bad``), ``numbers`` it gives, lines
+    ``rejected`` and the ``first_rejected``.
+
+    Lines are read twice.  Files of any size: their verdicts are joined to the
+    lines as totals of groups are.
+    """
+    file, block, row = LINE_ORDER
+    order = [
+        F.regexp_replace("_metadata.file_path", EMPTY_HOST, "$1:/").alias(file),
+        F.struct(F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(row)).alias("__at"),
+    ]
+    lines = _parsed(spark, path, order, [file, "__at"])
+    bad = F.col("v").isNull()
+    totals = lines.groupBy(F.col(file).alias("file")).agg(
+        F.count("*").alias("__lines"),
+        F.count_if(bad).alias("rejected"),
+        F.min(F.when(bad, F.struct("__at", "line"))).getField("line").alias("first_rejected"),
+    )
+    totals = cut_lineage(totals, "files")
+    # Scans leave out files without a byte, so names come from the driver's list of files.
+    listed = [(re.sub(EMPTY_HOST, r"\1:/", f),) for f in spark.read.text(path).inputFiles()]
+    names = spark.createDataFrame(listed, "file string")
+    status = F.when(F.col("__lines").isNull(), "blank").when(F.col("rejected") > 0, "bad").otherwise("good")
+    none = F.lit(0).cast("bigint")
+    report = names.join(totals, "file", "left").select(
+        "file", status.alias("status"), F.when(status == "good", F.col("__lines")).otherwise(none).alias("numbers"),
+        F.coalesce("rejected", none).alias("rejected"), "first_rejected",
+    )
+    verdicts = totals.select("file", "__lines", "rejected")
+    judged = attach_group_totals(lines.select(F.col(file).alias("file"), "v"), verdicts, "file", "__lines")
+    return judged.where("rejected = 0").select("file", "v"), report
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """Replace the LINE_ORDER columns of lines as read by ``pos``, their 0-based
     place in file name and line order.
