@@ -831,12 +831,15 @@ def stream_runs_merged(spark, sf_dir):
 
 # Batches of a store, and how many runs of a level become one of the next.
 BATCHES, FANOUT = 4, 2
+# A file that arrives has row groups of so many bytes, so that many tasks read it.
+GROUP_BYTES = 1 << 20
 
 
 def _run_store(spark, sf_dir):
     """The part keys as they arrive: a run per file, merged where a level is full."""
     arriving, path, state = (shared_path(spark, x) for x in ("arriving", "store", "state"))
-    src.part_keys(spark, sf_dir).repartition(BATCHES, "v").write.parquet(arriving)
+    keys = src.part_keys(spark, sf_dir).repartition(BATCHES, "v")
+    keys.write.option("parquet.block.size", GROUP_BYTES).parquet(arriving)
     stream_to_store(spark, arriving, path, state, "v bigint", max_files=1, fanout=FANOUT)
     return path
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from runweave.operators import (
     stored_rows,
     vacuum_runs,
 )
+from runweave.plans import catalog
 from runweave.storage import file_system, shared_path
 from runweave.streaming import stream_to_store
 
@@ -144,3 +146,17 @@ def test_arriving_files_are_readable_after_every_batch(spark, tmp_path):
     spark.range(40, 50).toDF("v").coalesce(1).write.mode("append").parquet(arriving)
     stream_to_store(spark, arriving, path, state, max_files=1, fanout=2)
     assert [r["v"] for r in merge_stored(spark, path, "v").collect()] == list(range(50))
+
+
+def test_files_that_arrive_can_be_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    n = 1_200_000
+    spark.range(n).select(F.col("id").alias("l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    taken = []
+    monkeypatch.setattr(catalog, "stream_to_store", lambda _, arriving, *a, **kw: taken.append((arriving, kw)))
+    catalog._run_store(spark, str(tmp_path))
+    (arriving, options), *_ = taken
+    files = [f.removeprefix("file:") for f in spark.read.parquet(arriving).inputFiles()]
+    groups = [pq.ParquetFile("/" + f.lstrip("/")).metadata.num_row_groups for f in files]
+    assert len(files) == catalog.BATCHES and options["max_files"] == 1
+    assert min(groups) > 1
+    assert spark.read.parquet(arriving).agg(F.count("*"), F.sum("v")).first()[:] == (n, n * (n - 1) // 2)
