@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from runweave.llm.common import attach_by_key
-from runweave.storage import cut_lineage
+from runweave.storage import cut_lineage, discard, files_for
 
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
@@ -29,7 +29,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     The links become stars around the least id of each component in a number of
     rounds that grows with the logarithm of a component's length.  The centre of
-    a star may have any number of links: they meet it in parts.
+    a star may have any number of links: they meet it in parts.  A round's links are
+    no more than twice those before, and lie in as few files as suit so many; those
+    before are deleted.
     """
     links = links.select(
         F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")
@@ -39,7 +41,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         if (now := links.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) == mark:
             break
-        mark = now
-        links = cut_lineage(_small_star(_large_star(links)), "links")
+        mark, before = now, links
+        links = cut_lineage(_small_star(_large_star(links)).coalesce(files_for(2 * now[0])), "links")
+        discard(links.sparkSession, before)
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)

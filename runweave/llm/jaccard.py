@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 from runweave.llm.common import attach_by_key, bucket_of, keep_rows, slices
 from runweave.llm.components import components
 from runweave.llm.hashing import U64, mix, shingle_sets
-from runweave.storage import cut_lineage
+from runweave.storage import cut_lineage, discard, files_for
 
 # A task tokenises about this many bytes of text at a time.
 SLICE = 1 << 19
@@ -55,6 +55,8 @@ BITS_A_DIFFERENCE = 4
 # Into so many buckets ids are hashed to tell early which texts are read again;
 # the table of buckets is broadcast, 8 bytes each.
 ID_BUCKETS = 1 << 20
+# Sketches, and sets of shingles, that one file of a table may have.
+SKETCHES_A_FILE, SETS_A_FILE = 20_000, 5_000
 
 SKETCHES = "doc_id long, row_id long, n_shingles long, class_id long, sha string, sketch binary"
 
@@ -184,8 +186,9 @@ def sketches(docs: DataFrame, percent: int, k: int) -> DataFrame:
     return rows.mapInArrow(run, SKETCHES)
 
 
-def _families(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """``leader, rid`` of classes that share a key with a class of lesser number."""
+def _families(docs: DataFrame, percent: int, k: int, files: int) -> DataFrame:
+    """``leader, rid`` of classes that share a key with a class of lesser number,
+    in at most so many files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
@@ -203,7 +206,7 @@ def _families(docs: DataFrame, percent: int, k: int) -> DataFrame:
     keyed = docs.select("text").mapInArrow(run, "rid long, key long")
     so_far = Window.partitionBy("key").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)
     met = keyed.withColumn("leader", F.min("rid").over(so_far)).where("leader < rid")
-    return cut_lineage(met.select("leader", "rid").distinct(), "families")
+    return cut_lineage(met.select("leader", "rid").distinct().coalesce(files), "families")
 
 
 def _parts(shingles: Column, members: Column) -> Column:
@@ -214,6 +217,7 @@ def _parts(shingles: Column, members: Column) -> Column:
 
 def _promising(families: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``families`` without members that by their sketch link with no other."""
+    files = files_for(2 * families.count())
     facts = classes.select("rid", "n", "sketch")
     whole = families.unionByName(families.select("leader", F.col("leader").alias("rid")).distinct())
     sized = whole.join(facts.select("rid", "n"), "rid")
@@ -236,7 +240,7 @@ def _promising(families: DataFrame, classes: DataFrame, percent: int) -> DataFra
                 )
 
     found = ordered.select(*task, "rid", "n", "sketch").mapInArrow(run, "leader long, rid long")
-    return cut_lineage(found.where("leader <> rid").distinct(), "promising")
+    return cut_lineage(found.where("leader <> rid").distinct().coalesce(files), "promising")
 
 
 def promising_members(group: list[dict], percent: int) -> list[int]:
@@ -260,7 +264,9 @@ def promising_members(group: list[dict], percent: int) -> list[int]:
 def _member_sets(docs: DataFrame, families: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """``rid, n, shingles`` of every class in a family, from its first text."""
     members = families.select(F.explode(F.array("leader", "rid")).alias("rid")).distinct()
-    members = cut_lineage(members.join(classes.select("rid", "rid_doc"), "rid"), "members")
+    n_members = 2 * families.count()
+    members = members.join(classes.select("rid", "rid_doc"), "rid").coalesce(files_for(n_members))
+    members = cut_lineage(members, "members")
     doc_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     members = members.select("rid", F.coalesce("rid_doc", F.lit(-(2**63))).alias("_id"))
     buckets = members.select(bucket_of(ID_BUCKETS, "_id").alias("_bucket")).distinct()
@@ -284,7 +290,10 @@ def _member_sets(docs: DataFrame, families: DataFrame, classes: DataFrame, k: in
             )
 
     found = texts.join(members, "_id").select("rid", "text").mapInArrow(run, "rid long, n long, shingles binary")
-    return cut_lineage(found.groupBy("rid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
+    sets = found.groupBy("rid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    sets = cut_lineage(sets.coalesce(files_for(n_members, SETS_A_FILE)), "sets")
+    discard(docs.sparkSession, members)
+    return sets
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -324,7 +333,7 @@ def _with_leader(families: DataFrame, sets: DataFrame, percent: int) -> DataFram
     holds the leader's shingles and one member's at a time.
     """
     sized = families.join(sets.select("rid", "n"), "rid")
-    weight = sized.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    weight = sized.groupBy("leader").agg(_parts(F.sum("n"), F.count("rid")).alias("parts"))
     dealt = attach_by_key(sized, weight, "leader", "rid")
     dealt = dealt.select("leader", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"), "rid")
     heads = dealt.select("leader", "part").distinct().withColumn("rid", F.col("leader"))
@@ -353,7 +362,8 @@ def _with_leader(families: DataFrame, sets: DataFrame, percent: int) -> DataFram
             )
 
     out = ordered.select("leader", "part", "rid", "shingles").mapInArrow(run, "leader long, rid long, linked boolean")
-    return cut_lineage(out, "with-leader")
+    # Compared in many tasks, kept in few files.
+    return cut_lineage(out.repartition(files_for(families.count())), "with-leader")
 
 
 def _among_members(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -443,13 +453,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 3) -> DataFrame
             F.min("sketch").alias("sketch"),
         )
     )
-    classes = cut_lineage(classes, "classes")
-    families = _promising(_families(docs, percent, k), classes, percent)
+    files = files_for(sketched.count(), SKETCHES_A_FILE)
+    classes = cut_lineage(classes.coalesce(files), "classes")
+    met = _families(docs, percent, k, files)
+    families = _promising(met, classes, percent)
+    discard(docs.sparkSession, met)
     sets = _member_sets(docs, families, classes, k)
     compared = _with_leader(families, sets, percent)
     links = compared.where("linked").select(F.col("leader").alias("a"), F.col("rid").alias("b"))
     links = links.unionByName(_among_members(compared, sets, percent))
-    roots = cut_lineage(components(links, "a", "b"), "roots")
+    roots = components(links, "a", "b")
+    discard(docs.sparkSession, families, sets, compared)
     named = classes.select("rid", "least").join(roots.withColumnRenamed("id", "rid"), "rid", "left")
     named = named.withColumn("root", F.coalesce("root", "rid"))
     names = named.groupBy("root").agg(F.min("least").alias("name"))

@@ -237,3 +237,27 @@ def test_few_decisions_and_many_keep_the_same_rows(spark, odd_docs, monkeypatch)
     few = sorted(map(repr, exact.drop_exact_duplicates(odd_docs).collect()))
     monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
     assert sorted(map(repr, exact.drop_exact_duplicates(odd_docs).collect())) == few
+
+
+def test_near_duplicates_leave_few_tables_and_files(spark, monkeypatch):
+    handed_out = {}
+    monkeypatch.setattr("runweave.storage._handed_out", handed_out)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:50], f"x{i % 3}", *words[50:]])) for i in range(40)]
+    rows += [(100 + i, f"alone {i} " + " ".join(f"y{i}z{j}" for j in range(30))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    with_conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "31"}
+    before = {k: spark.conf.get(k) for k in with_conf}
+    for k, v in with_conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = near_duplicates(docs, 80, 3).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["component_id"] for r in found if r["doc_id"] < 100} == {0}
+    assert all(r["component_id"] == r["doc_id"] for r in found if r["doc_id"] >= 100)
+    left = {p.rsplit("/", 1)[-1].split("-")[0]: p for paths in handed_out.values() for p in paths}
+    assert set(left) == {"sketches", "classes", "links"}
+    for name in ("classes", "links"):
+        assert len(spark.read.parquet(left[name]).inputFiles()) == 1
