@@ -13,15 +13,16 @@ def _least_neighbour(links: DataFrame) -> DataFrame:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    turned = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    both = links.select(F.inline(F.array(F.struct("u", "v"), turned)))
     near = attach_by_key(both, _least_neighbour(both), "u", "v")
     return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     near = attach_by_key(links, _least_neighbour(links), "u", "v")
-    moved = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(near.select("u", F.col("m").alias("v"))).distinct()
+    own, moved = (F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("u", "v"))
+    return near.select(F.inline(F.array(own, moved))).where("u <> v").distinct()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -31,7 +32,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     rounds that grows with the logarithm of a component's length.  The centre of
     a star may have any number of links: they meet it in parts.  A round's links are
     no more than twice those before, and lie in as few files as suit so many; those
-    before are deleted.
+    before are deleted.  Each half of a round is written by itself, as its links are
+    read several times: one plan for both would repeat the first half in each of
+    them, and plans are what the driver holds.
     """
     links = links.select(
         F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")
@@ -42,7 +45,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if (now := links.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) == mark:
             break
         mark, before = now, links
-        links = cut_lineage(_small_star(_large_star(links)).coalesce(files_for(2 * now[0])), "links")
-        discard(links.sparkSession, before)
-    roots = links.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-    return links.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
+        half = cut_lineage(_large_star(links).coalesce(files_for(now[0])), "half-round")
+        links = cut_lineage(_small_star(half).coalesce(files_for(2 * now[0])), "links")
+        discard(links.sparkSession, before, half)
+    own, root = (F.struct(F.col(c).alias("id"), F.col("v").alias("root")) for c in ("u", "v"))
+    return links.select(F.inline(F.array(own, root))).distinct()

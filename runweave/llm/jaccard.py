@@ -216,11 +216,13 @@ def _parts(shingles: Column, members: Column) -> Column:
 
 
 def _promising(families: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``families`` without members that by their sketch link with no other."""
+    """``families`` without members that by their sketch link with no other, and
+    ``n``, the size of a member's set."""
     files = files_for(2 * families.count())
     facts = classes.select("rid", "n", "sketch")
     whole = families.unionByName(families.select("leader", F.col("leader").alias("rid")).distinct())
-    sized = whole.join(facts.select("rid", "n"), "rid")
+    # Read several times below, so written: the driver holds small plans.
+    sized = cut_lineage(whole.join(facts.select("rid", "n"), "rid").coalesce(files), "sized")
     parts = sized.groupBy("leader").agg(_parts(F.sum("n"), F.count("rid")).alias("parts"))
     dealt = attach_by_key(sized, parts, "leader", "rid")
     part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
@@ -235,16 +237,21 @@ def _promising(families: DataFrame, classes: DataFrame, percent: int) -> DataFra
         for (leader, _, _), group in _groups(batches, task):
             near = promising_members(group, percent)
             if near:
+                rids, sizes = zip(*near)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([leader] * len(near), pa.int64()), pa.array(near, pa.int64())], ["leader", "rid"]
+                    [pa.array([leader] * len(near), pa.int64()), pa.array(rids, pa.int64()), pa.array(sizes, pa.int64())],
+                    ["leader", "rid", "n"],
                 )
 
-    found = ordered.select(*task, "rid", "n", "sketch").mapInArrow(run, "leader long, rid long")
-    return cut_lineage(found.where("leader <> rid").distinct().coalesce(files), "promising")
+    found = ordered.select(*task, "rid", "n", "sketch").mapInArrow(run, "leader long, rid long, n long")
+    promising = cut_lineage(found.where("leader <> rid").distinct().coalesce(files), "promising")
+    discard(families.sparkSession, sized)
+    return promising
 
 
-def promising_members(group: list[dict], percent: int) -> list[int]:
-    """The members of a block that are near another one by their sketches."""
+def promising_members(group: list[dict], percent: int) -> list[tuple[int, int]]:
+    """The members of a block that are near another one by their sketches, and
+    the sizes of their sets."""
     rows = sorted(group, key=lambda r: r["n"])
     sketches = [np.frombuffer(r["sketch"], U64) for r in rows]
     words = min(len(s) for s in sketches)
@@ -258,7 +265,7 @@ def promising_members(group: list[dict], percent: int) -> list[int]:
         close = apart <= (100 - percent) * (sizes[i] + sizes[others]) // (100 + percent)
         near[others] |= close
         near[i] |= bool(close.any())
-    return [r["rid"] for r, is_near in zip(rows, near) if is_near]
+    return [(r["rid"], r["n"]) for r, is_near in zip(rows, near) if is_near]
 
 
 def _member_sets(docs: DataFrame, families: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -332,19 +339,19 @@ def _with_leader(families: DataFrame, sets: DataFrame, percent: int) -> DataFram
     A large family is dealt out in parts, each with a copy of the leader; a task
     holds the leader's shingles and one member's at a time.
     """
-    sized = families.join(sets.select("rid", "n"), "rid")
-    weight = sized.groupBy("leader").agg(_parts(F.sum("n"), F.count("rid")).alias("parts"))
-    dealt = attach_by_key(sized, weight, "leader", "rid")
-    dealt = dealt.select("leader", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"), "rid")
-    heads = dealt.select("leader", "part").distinct().withColumn("rid", F.col("leader"))
-    rows = heads.unionByName(dealt).join(sets.select("rid", "shingles"), "rid")
+    weight = families.groupBy("leader").agg(_parts(F.sum("n"), F.count("rid")).alias("parts"))
+    dealt = attach_by_key(families, weight, "leader", "rid")
+    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part")
+    # Every member, and the leader once a part.
+    dealt = dealt.select("leader", part, F.explode(F.array("leader", "rid")).alias("rid")).distinct()
+    rows = dealt.join(sets.select("rid", "shingles"), "rid")
     # By the arrangement below the leader is the first of its part.
     ordered = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, head_set = None, np.zeros(0, U64)
         for batch in batches:
-            leaders, rids, linked = [], [], []
+            leaders, rids, sizes, linked = [], [], [], []
             shingles = batch.column("shingles")
             for i, (leader, rid) in enumerate(zip(batch.column("leader").to_pylist(), batch.column("rid").to_pylist())):
                 own = np.frombuffer(shingles[i].as_buffer(), U64)
@@ -355,13 +362,14 @@ def _with_leader(families: DataFrame, sets: DataFrame, percent: int) -> DataFram
                     raise ValueError("a family's least member is missing")
                 leaders.append(leader)
                 rids.append(rid)
+                sizes.append(len(own))
                 linked.append(_linked(head_set, own, percent))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaders, pa.int64()), pa.array(rids, pa.int64()), pa.array(linked, pa.bool_())],
-                ["leader", "rid", "linked"],
+                [pa.array(leaders, pa.int64()), pa.array(rids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_())],
+                ["leader", "rid", "n", "linked"],
             )
 
-    out = ordered.select("leader", "part", "rid", "shingles").mapInArrow(run, "leader long, rid long, linked boolean")
+    out = ordered.select("leader", "part", "rid", "shingles").mapInArrow(run, "leader long, rid long, n long, linked boolean")
     # Compared in many tasks, kept in few files.
     return cut_lineage(out.repartition(files_for(families.count())), "with-leader")
 
@@ -369,29 +377,23 @@ def _with_leader(families: DataFrame, sets: DataFrame, percent: int) -> DataFram
 def _among_members(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` that span what members of a family other than the least
     have among each other, where at least one does not link with the least."""
-    sized = compared.join(sets.select("rid", "n"), "rid")
     free = F.when(~F.col("linked"), F.col("n"))
-    shape = sized.groupBy("leader").agg(
+    shape = compared.groupBy("leader").agg(
         _parts(F.sum(free), F.count(free)).alias("row_parts"),
         _parts(F.sum("n"), F.count("rid")).alias("col_parts"),
         F.count("rid").alias("members"),
     )
     shape = shape.where("row_parts > 0 and members > 1").drop("members")
-    dealt = attach_by_key(sized, shape, "leader", "rid").where("row_parts is not null")
-    dealt = dealt.select(
-        "leader",
-        "rid",
-        "linked",
-        F.pmod(F.xxhash64("rid"), F.col("row_parts")).cast("int").alias("row"),
-        F.pmod(F.xxhash64("rid"), F.col("col_parts")).cast("int").alias("col"),
-        F.sequence(F.lit(0), F.col("row_parts") - 1).alias("rows"),
-        F.sequence(F.lit(0), F.col("col_parts") - 1).alias("cols"),
-    )
+    dealt = attach_by_key(compared, shape, "leader", "rid").where("row_parts is not null")
+    row = F.pmod(F.xxhash64("rid"), F.col("row_parts")).cast("int")
+    col = F.pmod(F.xxhash64("rid"), F.col("col_parts")).cast("int")
+    rows_of, cols_of = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("row_parts", "col_parts"))
     # A task has one part of the free members and one of all members.
-    as_free = dealt.where("not linked").select("leader", "rid", "linked", "row", F.explode("cols").alias("col"), F.lit(True).alias("free"))
-    as_any = dealt.select("leader", "rid", "linked", F.explode("rows").alias("row"), "col", F.lit(False).alias("free"))
+    as_free = F.transform(cols_of, lambda c: F.struct(row.alias("row"), c.alias("col"), F.lit(True).alias("free")))
+    as_any = F.transform(rows_of, lambda r: F.struct(r.alias("row"), col.alias("col"), F.lit(False).alias("free")))
+    spots = F.when(F.col("linked"), as_any).otherwise(F.concat(as_free, as_any))
     task = ["leader", "row", "col"]
-    rows = as_free.unionByName(as_any).join(sets.select("rid", "shingles"), "rid")
+    rows = dealt.select("leader", "rid", "linked", F.inline(spots)).join(sets.select("rid", "shingles"), "rid")
     ordered = rows.repartition(*task).sortWithinPartitions(*task)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,10 +466,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 3) -> DataFrame
     links = links.unionByName(_among_members(compared, sets, percent))
     roots = components(links, "a", "b")
     discard(docs.sparkSession, families, sets, compared)
-    named = classes.select("rid", "least").join(roots.withColumnRenamed("id", "rid"), "rid", "left")
-    named = named.withColumn("root", F.coalesce("root", "rid"))
-    names = named.groupBy("root").agg(F.min("least").alias("name"))
-    named = attach_by_key(named, names, "root", "rid").select(F.col("rid").alias("class_id"), "root", F.col("name").alias("component_id"))
+    # What is linked gets its name once; a class without links has its own.
+    linked = classes.select("rid", "least").join(roots.withColumnRenamed("id", "rid"), "rid")
+    names = linked.groupBy("root").agg(F.min("least").alias("name"))
+    linked = attach_by_key(linked, names, "root", "rid").select("rid", "root", "name")
+    linked = cut_lineage(linked.coalesce(files_for(roots.count())), "links-named")
+    discard(docs.sparkSession, roots)
+    named = classes.select("rid", "least").join(linked, "rid", "left").select(
+        F.col("rid").alias("class_id"), F.coalesce("root", "rid").alias("root"), F.coalesce("name", "least").alias("component_id")
+    )
     rows = sketched.select("doc_id", "row_id", "n_shingles", "class_id", "sha")
     found = attach_by_key(rows, named, "class_id", "row_id")
     return found.select(
@@ -484,11 +491,14 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = 3) -> Data
     """Of each component the row with the smallest id stays (of several with that
     id the one with the least text digest), with all its columns.  Wordless rows
     all stay; rows equal in id and text are one."""
-    found = near_duplicates(docs, percent, k)
+    found = cut_lineage(near_duplicates(docs, percent, k), "found")
     named = (F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))
     head = found.where(named).groupBy("root").agg(F.min(F.struct("sha", "doc_id")).alias("head"))
     # Rows beside the one that stays go; most components have a single row.
     rows = attach_by_key(found.select("root", "row_id", "doc_id", "sha", "n_shingles"), head, "root", "row_id")
     same = F.struct("sha", "doc_id").eqNullSafe(F.struct("head.sha", "head.doc_id"))
     decided = rows.select("doc_id", "sha", ((F.col("n_shingles") == 0) | same).alias("kept"))
-    return keep_rows(docs, decided, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256), "sha")
+    kept = keep_rows(docs, decided, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256), "sha")
+    # Ids and marks of the rows that go are written by now.
+    discard(docs.sparkSession, found)
+    return kept

@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from runweave.llm import common, exact
+from runweave.llm import common, components as components_module, exact, jaccard
 from runweave.llm.components import components
 from runweave.llm.decontaminate import contamination, drop_contaminated
 from runweave.llm.exact import drop_exact_duplicates, exact_duplicates
@@ -17,6 +17,7 @@ from runweave.llm.hashing import CHUNK, shingle_sets, word_hashes
 from runweave.llm.jaccard import Bands, allowed, band_keys, drop_near_duplicates, folded, near_duplicates, parity_sketch
 from runweave.llm.queries import op1_exact_dedup, op7_jaccard_join, op9_sharding
 from runweave.llm.sharding import add_shard, first_map, rebalance, shard_by_bytes
+from runweave.storage import cut_lineage
 
 
 def lower(text):
@@ -261,3 +262,22 @@ def test_near_duplicates_leave_few_tables_and_files(spark, monkeypatch):
     assert set(left) == {"sketches", "classes", "links"}
     for name in ("classes", "links"):
         assert len(spark.read.parquet(left[name]).inputFiles()) == 1
+
+
+def test_plans_of_near_duplicates_stay_small(spark, monkeypatch):
+    leaves = []
+
+    def noted(df, label):
+        leaves.append((label, df._jdf.queryExecution().optimizedPlan().collectLeaves().size()))
+        return cut_lineage(df, label)
+
+    for module in (common, components_module, jaccard):
+        monkeypatch.setattr(module, "cut_lineage", noted)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:50], f"x{i % 3}", *words[50:]])) for i in range(40)]
+    rows += [(100 + i, f"alone {i} " + " ".join(f"y{i}z{j}" for j in range(30))) for i in range(10)] + [(None, None)]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 3)
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [0, *range(100, 110)]
+    # The driver holds each plan whole and plans it anew after every stage.
+    assert {"links", "decided"} <= {label for label, _ in leaves}
+    assert max(n for _, n in leaves) <= 10, leaves
